@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ranked", "frozen_sample", "segment_index"]
+MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
