@@ -13,7 +13,7 @@ them up; every hit is then verified exactly. After a batch is decided its string
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.runtime import cut, table
@@ -22,8 +22,14 @@ T = 0.8
 
 
 def token_string(c: str | Column) -> Column:
-    """Sorted distinct word tokens (runs of letters, digits, ``_``; case ignored)."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != "")))
+    """Distinct word tokens (runs of letters, digits, ``_``; case ignored) as 64-bit hashes, in sorted order."""
+    words = F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda x: x != ""))
+    return F.array_sort(F.transform(words, lambda x: F.xxhash64(x)))
+
+
+def _sketch() -> Column:
+    """31 bits with one bit set for each token: sets that differ in d tokens have sketches that differ in at most d bits."""
+    return F.aggregate("toks", F.lit(0), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftrightunsigned(x, 32), F.lit(31)).cast("int")))).alias("bits")
 
 
 def _bound(n: Column, t: float) -> Column:
@@ -37,26 +43,28 @@ def _key(seg: Column) -> Column:
 
 
 def segments(strings: DataFrame, t: float = T) -> DataFrame:
-    """(key, id): the k + 1 segments of each string of ``strings`` (grp, id, ord, toks). Appending is a union of these."""
+    """(key, id, bits): the k + 1 segments of each string of ``strings`` (grp, id, ord, toks). Appending is a union of these."""
     n = F.size("toks")
-    s = strings.where(n > 0).select("grp", "id", "toks", n.alias("n"), F.least(_bound(n, t) + 1, n).alias("k1"))
+    s = strings.where(n > 0).select("grp", "id", "toks", _sketch(), n.alias("n"), F.least(_bound(n, t) + 1, n).alias("k1"))
     s = s.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("k1") - 1)))
     at = lambda i: F.floor(i * F.col("n") / F.col("k1")).cast("int")
-    return s.select(_key(F.slice("toks", at(F.col("no")) + 1, at(F.col("no") + 1) - at(F.col("no")))).alias("key"), "id")
+    return s.select(_key(F.slice("toks", at(F.col("no")) + 1, at(F.col("no") + 1) - at(F.col("no")))).alias("key"), "id", "bits")
 
 
-def probes(strings: DataFrame, t: float = T) -> DataFrame:
-    """(key, id): for each possible partner length n the substrings that may equal segment ``no``, multi-match-aware.
+def probes(strings: DataFrame, t: float = T, longer: bool = True) -> DataFrame:
+    """(key, id, bits, d): for each possible partner length n the substrings that may equal segment ``no``, multi-match-aware.
 
     A segment of a partner of length n that starts at p appears in the probe (length m) at p + s, where the shift s is the
     surplus of tokens inserted before it over those deleted. Over the whole string the surplus is m - n, in d edits at
     most. Hence at most (d + m - n) / 2 insertions and (d - m + n) / 2 deletions, and s and (m - n) - s keep to them. Of
     several unchanged segments one is enough: the first segment with fewer edits before it than its number, and, from the
-    right, fewer edits after it than segments follow, so that |s| <= no and |(m - n) - s| <= k - no.
+    right, fewer edits after it than segments follow, so that |s| <= no and |(m - n) - s| <= k - no. Without ``longer`` only partners up to the probe's own
+    length are sought: enough where every string is both stored and a probe.
     """
     m = F.size("toks")
-    s = strings.where(m > 0).select("grp", "id", "toks", m.alias("m"))
-    s = s.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * t - 1e-9).cast("int"), F.floor(F.col("m") / t + 1e-9).cast("int"))))
+    s = strings.where(m > 0).select("grp", "id", "toks", _sketch(), m.alias("m"))
+    top = F.floor(F.col("m") / t + 1e-9).cast("int") if longer else F.col("m")
+    s = s.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * t - 1e-9).cast("int"), top)))
     s = s.withColumn("d", F.floor((1 - t) / (1 + t) * (F.col("m") + F.col("n")) + 1e-9).cast("int")).withColumn("k1", F.least(_bound(F.col("n"), t) + 1, F.col("n")))
     s = s.withColumn("no", F.explode(F.sequence(F.lit(0), F.col("k1") - 1)))
     at = lambda i: F.floor(i * F.col("n") / F.col("k1")).cast("int")
@@ -67,7 +75,8 @@ def probes(strings: DataFrame, t: float = T) -> DataFrame:
     high = F.least(F.least(ins, left), more + F.least(dele, right))
     s = s.withColumn("p", at(F.col("no"))).withColumn("len", at(F.col("no") + 1) - at(F.col("no")))
     s = s.withColumn("lo", F.greatest(F.lit(0), F.col("p") + low)).withColumn("hi", F.least(F.col("m") - F.col("len"), F.col("p") + high)).where("lo <= hi")
-    return s.select("grp", "id", "toks", "n", "no", "len", F.explode(F.sequence("lo", "hi")).alias("q")).select(_key(F.slice("toks", F.col("q") + 1, F.col("len"))).alias("key"), "id")
+    s = s.select("grp", "id", "bits", "d", "toks", "n", "no", "len", F.explode(F.sequence("lo", "hi")).alias("q"))
+    return s.select(_key(F.slice("toks", F.col("q") + 1, F.col("len"))).alias("key"), "id", "bits", F.col("d").cast("short").alias("d"))
 
 
 def _similar(a: Column, b: Column, t: float) -> Column:
@@ -75,19 +84,29 @@ def _similar(a: Column, b: Column, t: float) -> Column:
     return F.size(F.array_intersect(a, b)) * (1 + t) >= (F.size(a) + F.size(b)) * t - 1e-9
 
 
-def links(history: DataFrame, batch: DataFrame, t: float = T) -> DataFrame:
+def links(history: DataFrame, batch: DataFrame | None = None, t: float = T) -> DataFrame:
     """(a, b, a_ord, b_ord): verified pairs of an earlier string a (history) and a later string b (batch); exact.
 
-    Both are (grp, id, ord, toks); ``ord`` orders arrival. The join is on one
-    key of (group, length, segment number, segment), so a group of any size is spread by its segments.
+    Both are (grp, id, ord, toks); ``ord`` orders arrival. Without ``batch`` all pairs within ``history`` are found. The
+    join is on one key of (group, length, segment number, segment), so a group of any size is spread by its segments; the
+    sketches drop nearly all chance meetings in the join itself.
     """
-    h, p = segments(history, t).withColumnRenamed("id", "a"), probes(batch, t).withColumnRenamed("id", "b")
-    c = h.join(p, "key").where("a <> b").select("a", "b").distinct()
-    ha = history.select(F.col("id").alias("a"), F.col("ord").alias("a_ord"), F.col("toks").alias("a_toks"))
-    hb = batch.select(F.col("id").alias("b"), F.col("ord").alias("b_ord"), F.col("toks").alias("b_toks"))
-    v = c.join(ha, "a").join(hb, "b")
-    v = v.where((F.col("a_ord") < F.col("b_ord")) & _similar(F.col("a_toks"), F.col("b_toks"), t))
-    return v.select("a", "b", "a_ord", "b_ord")
+    x = history if batch is None else history.unionByName(batch)
+    h = segments(history, t).select("key", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+    p = probes(history if batch is None else batch, t, longer=batch is not None).withColumnRenamed("id", "b")
+    c = h.join(p, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))) <= F.col("d")))
+    c = c.select("a", "b").distinct()
+    if batch is None:
+        c = c.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    y = x.select("id", "ord", "toks")
+    v = c.join(y.alias("x"), F.col("a") == F.col("x.id")).select("a", "b", F.col("x.ord").alias("a_ord"), F.col("x.toks").alias("a_toks"))
+    v = v.join(y.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", "a_ord", "a_toks", F.col("y.ord").alias("b_ord"), F.col("y.toks").alias("b_toks"))
+    v = v.where(_similar(F.col("a_toks"), F.col("b_toks"), t))
+    if batch is not None:
+        return v.where("a_ord < b_ord").select("a", "b", "a_ord", "b_ord")
+    early = F.col("a_ord") < F.col("b_ord")
+    pick = lambda p, q, name: F.when(early, F.col(p)).otherwise(F.col(q)).alias(name)
+    return v.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("a_ord", "b_ord", "a_ord"), pick("b_ord", "a_ord", "b_ord"))
 
 
 def decide(pairs: DataFrame, rounds: int = 50) -> DataFrame:
@@ -122,18 +141,16 @@ def decide(pairs: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def finding_strings(df: DataFrame) -> DataFrame:
-    """(grp, id, ord, toks): one row a finding_id of ``findings``; the group is (repo, rule_id).
+    """(grp, id, ord, toks) of ``findings``; the group is (repo, rule_id).
 
     Null evidence and evidence without word tokens give an empty string, which repeats nothing. Null repo or rule_id form
-    groups of their own.
+    groups of their own. Repeated deliveries of a finding stay; they are copies of each other.
     """
-    one = F.min(F.struct("batch_no", "repo", "rule_id", "evidence")).alias("x")
-    f = df.where("finding_id is not null").groupBy("finding_id").agg(one).select("finding_id", "x.*")
-    return f.select(
+    return df.where("finding_id is not null").select(
         F.xxhash64("repo", F.isnull("repo"), "rule_id", F.isnull("rule_id")).alias("grp"),
         F.col("finding_id").alias("id"),
         F.struct(F.coalesce("batch_no", F.lit(2147483647)).alias("b"), F.col("finding_id").alias("i")).alias("ord"),
-        F.coalesce(token_string("evidence"), F.array().cast("array<string>")).alias("toks"),
+        F.coalesce(token_string("evidence"), F.array().cast("array<bigint>")).alias("toks"),
     )
 
 
@@ -144,13 +161,11 @@ def repeats(strings: DataFrame, t: float = T) -> DataFrame:
     copies of any size costs one string. Copies need not be linked to each other; each inherits its class's first.
     """
     w = strings.where(F.size("toks") > 0).withColumn("cls", F.xxhash64("grp", "toks"))
-    w = cut(w)
-    reps = w.groupBy("cls").agg(F.min_by(F.struct("grp", "id", "ord", "toks"), "ord").alias("r")).select("cls", "r.*")
-    reps = cut(reps)
-    pairs = cut(links(reps.select("grp", "id", "ord", "toks"), reps.select("grp", "id", "ord", "toks"), t))
-    d = decide(pairs)
-    of = reps.join(d, reps["id"] == d["dup"], "left").select("cls", F.col("id").alias("rep"), F.coalesce("first", "id").alias("first_id"))
-    return w.select("cls", "id").join(of, "cls").where("id <> first_id").select("first_id", F.col("id").alias("dup_id"))
+    reps = w.groupBy("cls").agg(F.min("ord").alias("ord"), F.max("grp").alias("grp"), F.max("toks").alias("toks"))
+    reps = cut(reps.select("cls", "grp", F.col("ord.i").alias("id"), "ord", "toks"))
+    d = decide(cut(links(reps.select("grp", "id", "ord", "toks"), t=t)))
+    of = reps.select("cls", "id").join(d, F.col("id") == F.col("dup"), "left").select("cls", F.coalesce("first", "id").alias("first_id"))
+    return w.select("cls", "id").join(of, "cls").where("id <> first_id").select("first_id", F.col("id").alias("dup_id")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
