@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials"]
+MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials", "leaks"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
