@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials", "leaks"]
+MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials", "leaks", "origin"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
