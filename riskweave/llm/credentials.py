@@ -24,6 +24,8 @@ UNNATURAL = 2.6
 
 _SECRET_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|login|auth(?:orization)?|api[_ -]?key|(?:access|private|signing|secret|service|encryption|account|license)[_ -]?key"
 _SECRET_NAME = re.compile(rf"(?i)(?:{_SECRET_WORD})(?![a-z])|(?i:apikey)|_pass\b")
+_STEMS = ["pass", "pwd", "secret", "token", "bearer", "credential", "login", "auth", "key"]  # each secret word has one
+_TO_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Names under which a random string is a hash, an id or public.
 _OPEN_NAME = re.compile(r"(?i)hash|digest|checksum|commit|revision|\bsha|sha\d|integrity|uuid|guid|etag|public|(?:^|_)pub(?:_|$|key)|fingerprint|signature|(?:^|_)id$|version|verify")
 _PLACEHOLDER = re.compile(
@@ -47,7 +49,7 @@ _ASSIGN = re.compile(
     r"""([A-Za-z_][\w.-]*)["'`]?\]?[ \t]*(?::[ \t]*(?:str|string|String|any|&str|Optional\[str\])[ \t]*)?(?::=|=>|=(?!=)|:(?![:=/]))[ \t]*(?:\([ \t]*)?(?:[rbuf]{0,2}(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)|(?P<b>[^\s"'`,;(){}\[\]]+))"""
 )
 _SEAM = re.compile(r"""[ \t]*(?:[+.\\]|\.\.)?[ \t]*\\?(?:\r?\n[ \t]*(?:[+.][ \t]*)?)?[rbuf]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
-_PLUS = re.compile(r"""["'`][ \t]*(?:\r?\n[ \t]*)?\+[ \t]*(?:\r?\n[ \t]*)?["'`]""")
+_PLUS = re.compile(r"""(?<=[\w=+/:@!?#%*-])["'`](?:[ \t]*\+[ \t]*|[ \t]*\\?\r?\n[ \t]*\+?[ \t]*|[ \t]+)["'`](?=[\w=+/:@!?#%*-])""")
 _RANDOM = re.compile(r"(?<![\w+/=.\\-])[A-Za-z][\w+/=.-]{17,}")
 _BEFORE = re.compile(r"""([A-Za-z_][\w-]*)["'`]?[ \t]*(?::[ \t]*\w+[ \t]*)?(?::=|=>|[:=])[ \t(]*["'`]?$""")
 _SPOKEN = re.compile(rf"(?i)(?:{_SECRET_WORD})(?![\w])|\b\w+_(?:{_SECRET_WORD})(?!\w)")
@@ -120,6 +122,22 @@ def _joined(text: str, end: int, first: str) -> tuple[str, int]:
     return out, end
 
 
+def _speaking_lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines on which a name or a word speaks of secrets; plain substrings lead to them."""
+    low, got = text.lower(), set()
+    if len(low) != len(text):
+        low = text.translate(_TO_LOWER)
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            a = low.rfind("\n", 0, at) + 1
+            b = low.find("\n", at)
+            b = len(low) if b < 0 else b
+            got.add((a, b))
+            at = low.find(stem, b)
+    return [x for x in sorted(got) if _SECRET_NAME.search(text, *x)]
+
+
 def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every credential, in order, not overlapping; null and empty texts have none."""
     if not text:
@@ -147,31 +165,20 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
                 end = text.find("-----END", b.end(), b.end() + 8000)
                 stop = re.compile(r"-----END[A-Z0-9 ]*-----").match(text, end) if end >= 0 else None
                 add(m.start(), stop.end() if stop else b.end(), "private key")
-    seen_names = _SECRET_NAME.search(text)
-    for m in _ASSIGN.finditer(text):
-        name, v = m[1], m["v"]
-        secret = seen_names is not None and _SECRET_NAME.search(name) and not _OPEN_NAME.search(name)
-        if v is not None:
-            if len(v) < 3 and not secret:
-                continue
-            end = m.end()
-            if text[end : end + 1] in " +.\\\r\n\t\"'`":
-                v, end = _joined(text, end, v)
-            if _OPEN_NAME.search(name):
+    lines = _speaking_lines(text)
+    for a, b in lines:
+        for m in _ASSIGN.finditer(text, a, b):
+            name, v = m[1], m["v"]
+            if not _SECRET_NAME.search(name) or _OPEN_NAME.search(name):
                 continue
-            if secret and _named_value(v):
-                add(m.start("v"), end - 1, "assignment")
-            elif len(v) >= 18 and _key_form(v):
-                add(m.start("v"), end - 1, "assignment")
-            elif end != m.end() and "://" in v:
-                u = _URL.search(v)
-                if u and not _ruled_out(u[2]):
-                    add(m.start("v"), end - 1, "address")
-        elif secret:
-            v = m["b"]
-            # a bare word is a value in settings only: nothing but the name and, perhaps, a keyword before it
-            a = text.rfind("\n", 0, m.start()) + 1
-            if re.fullmatch(r"[\s-]*(?:export\s+|set\s+|ENV\s+|[>#*-]\s*)*", text[a : m.start(1)]) and _named_value(v):
+            if v is not None:
+                end = m.end()
+                if text[end : end + 1] in " +.\\\r\n\t\"'`":
+                    v, end = _joined(text, end, v)
+                if _named_value(v):
+                    add(m.start("v"), end - 1, "assignment")
+            elif re.fullmatch(r"[\s-]*(?:export\s+|set\s+|ENV\s+|[>#*-]\s*)*", text[a : m.start(1)]) and _named_value(m["b"]):
+                # a bare word is a value in settings only: nothing but the name and, perhaps, a keyword before it
                 add(m.start("b"), m.end("b"), "setting")
     done = 0
     for m in _PLUS.finditer(text):
@@ -180,7 +187,10 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
         if a < done or m.start() - a > 200:
             continue
         v, done = _joined(text, m.start() + 1, text[a + 1 : m.start()])
-        if len(v) >= 18 and _key_form(v):
+        u = _URL.search(v) if "://" in v else None
+        if u and not _ruled_out(u[2]) and not _SETTING.match(u[2]):
+            add(a + 1, done - 1, "address")
+        elif len(v) >= 18 and _key_form(v):
             named = _BEFORE.search(text[text.rfind("\n", 0, a) + 1 : a + 1])
             if not (named and _OPEN_NAME.search(named[1])):
                 add(a + 1, done - 1, "key")
@@ -192,11 +202,8 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
                 named = _BEFORE.search(text[a : m.start()])
                 if not (named and _OPEN_NAME.search(named[1])) and not _data_row(text, a, m.start(), m.end()):
                     add(m.start(), m.start() + len(v), "key")
-    if seen_names is not None:
-        for m in _SPOKEN.finditer(text):
-            a = text.rfind("\n", 0, m.start()) + 1
-            b = text.find("\n", m.end())
-            b = len(text) if b < 0 else b
+    for a, b in lines:
+        for m in _SPOKEN.finditer(text, a, b):
             if not _spoken_place(text, a, m.start()):
                 continue
             for p in list(_PIECE.finditer(text, m.end(), min(b, m.end() + 160)))[:6]:
