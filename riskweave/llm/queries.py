@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials", "leaks", "origin"]
+MODULES = ["ranked", "frozen_sample", "segment_index", "mixing", "quality", "credentials", "leaks", "origin", "syntax"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
