@@ -9,7 +9,10 @@ from riskweave.functions.text import clamp01, detector_name, severity_name, spli
 from riskweave.operators.dims import SEVERITIES
 from riskweave.runtime import table
 
-SEV_VALUE = F.create_map(*[x for s in SEVERITIES for x in (F.lit(s[0]), F.lit(s[1]))])
+
+def sev_values() -> Column:
+    """Severity name to value, as a map."""
+    return F.create_map(*[x for s in SEVERITIES for x in (F.lit(s[0]), F.lit(s[1]))])
 
 
 def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -21,7 +24,7 @@ def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     rest = [c for c in f.columns if c != "finding_id"]
     f = f.where("finding_id is not null").groupBy("finding_id").agg(F.min(F.struct(*rest)).alias("x")).select("finding_id", "x.*")
     if "severity" in rest:
-        f = f.withColumn("severity", severity_name()).withColumn("sev_value", F.element_at(SEV_VALUE, F.col("severity")))
+        f = f.withColumn("severity", severity_name()).withColumn("sev_value", F.element_at(sev_values(), F.col("severity")))
     if "detector" in rest:
         f = f.withColumn("detector", detector_name())
     return f
