@@ -8,6 +8,7 @@ hashes, ids and public keys are ruled out. Literals put together from neighbouri
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,12 +23,13 @@ from riskweave.runtime import spread, table
 #: A string with fewer characters per subword than this is unnatural.
 UNNATURAL = 2.6
 
-_SECRET_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|login|auth(?:orization)?|api[_ -]?key|(?:access|private|signing|secret|service|encryption|account|license)[_ -]?key"
+_SECRET_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|login|auth(?:orization)?|api[_ -]?key|(?:access|private|signing|secret|service|encryption|account|license|shared|master|deploy|session)[_ -]?key"
 _SECRET_NAME = re.compile(rf"(?i)(?:{_SECRET_WORD})(?![a-z])|(?i:apikey)|_pass\b")
 _STEMS = ["pass", "pwd", "secret", "token", "bearer", "credential", "login", "auth", "key"]  # each secret word has one
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Names under which a random string is a hash, an id or public.
-_OPEN_NAME = re.compile(r"(?i)hash|digest|checksum|commit|revision|\bsha|sha\d|integrity|uuid|guid|etag|public|(?:^|_)pub(?:_|$|key)|fingerprint|signature|(?:^|_)id$|version|verify")
+_OPEN_NAME = re.compile(r"(?i)(?:hash|digest|checksum|commit|revision|integrity|etag|fingerprint|signature|version|uuid|guid|(?:^|_)id|(?:^|_)sha\d*)$|(?:^|_)pub(?:_|$|key)|public|verify_")
+_PUBLIC_NAME = re.compile(r"(?i)(?:^|_)pub(?:_|$|key)|public|verify_")
 _PLACEHOLDER = re.compile(
     r"(?i)example|sample|dummy|fake|change[-_ ]?(?:me|it)|replace|insert|your[-_ ]|placeholder|not[-_ ]a|todo|redacted|masked|x{4,}|\*{3,}|0{6,}|\.{3,}|1234567|abcdef|^<.*>$|^\[.*\]$|^\{|^(?:none|null|true|false|undefined|password|secret|token|test)$"
 )
@@ -49,8 +51,11 @@ _ASSIGN = re.compile(
     r"""([A-Za-z_][\w.-]*)["'`]?\]?[ \t]*(?::[ \t]*(?:str|string|String|any|&str|Optional\[str\])[ \t]*)?(?::=|=>|=(?!=)|:(?![:=/]))[ \t]*(?:\([ \t]*)?(?:[rbuf]{0,2}(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)|(?P<b>[^\s"'`,;(){}\[\]]+))"""
 )
 _SEAM = re.compile(r"""[ \t]*(?:[+.\\]|\.\.)?[ \t]*\\?(?:\r?\n[ \t]*(?:[+.][ \t]*)?)?[rbuf]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
-_PLUS = re.compile(r"""(?<=[\w=+/:@!?#%*-])["'`](?:[ \t]*\+[ \t]*|[ \t]*\\?\r?\n[ \t]*\+?[ \t]*|[ \t]+)["'`](?=[\w=+/:@!?#%*-])""")
-_RANDOM = re.compile(r"(?<![\w+/=.\\-])[A-Za-z][\w+/=.-]{17,}")
+_PLUS = re.compile(r"""(?<=[\w=+/:@!?#%*-])["'`](?:[ \t]*\+[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\\?\r?\n[ \t]*\+?[ \t]*|[ \t]+)["'`](?=[\w=+/:@!?#%*-])""")
+_RANDOM = re.compile(r"(?<![\w+/.\\-])[A-Za-z][\w+/.-]{17,}={0,2}")
+_LIST = re.compile(r"""(?:""|''|``)\.join\([ \t]*[\[(]|[=:(,][ \t]*\[(?=[^\]\n]{2,300}\]\.join\((?:""|''|``)\))""")
+_LIST_ITEM = re.compile(r"""[ \t\r\n]*[rbuf]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1[ \t\r\n]*,?""")
+_LOGIN = re.compile(r"^[\w.@-]{2,40}:[!-~]{6,60}$")
 _BEFORE = re.compile(r"""([A-Za-z_][\w-]*)["'`]?[ \t]*(?::[ \t]*\w+[ \t]*)?(?::=|=>|[:=])[ \t(]*["'`]?$""")
 _SPOKEN = re.compile(rf"(?i)(?:{_SECRET_WORD})(?![\w])|\b\w+_(?:{_SECRET_WORD})(?!\w)")
 _COMMENT = re.compile(r"(?:^|[\s;{}(),])(?:#|//|--|/\*|\*|;|<!--)\s?|^\s*[>*-] ")
@@ -84,10 +89,27 @@ def _key_form(v: str) -> bool:
         return False
     if v.startswith(("AKIA", "ASIA")):
         return chars_per_subword(v) < UNNATURAL
+    if v.startswith("eyJ"):
+        return _random_like(v.replace(".", ""))
     run = max(re.findall(r"[A-Za-z0-9]+", _body(v)), key=len, default="")
     return len(run) >= 12 and any(map(str.isdigit, run)) and any(map(str.islower, run)) and any(map(str.isupper, run)) and _random_like(_body(v))
 
 
+def _pieced(v: str) -> bool:
+    """A string put together from pieces that no language or table of data explains."""
+    return _key_form(v) or len(v) >= 20 and not _ruled_out(v) and bool(re.fullmatch(r"[\w+/=.-]+", v)) and _random_like(v) and bool(re.search(r"[A-Za-z0-9+/]{16,}", v))
+
+
+def _encoded_login(v: str) -> bool:
+    """Base64 of ``name:password``."""
+    if len(v) % 4 or len(v) < 20 or "." in v or "-" in v or "_" in v:
+        return False
+    try:
+        return bool(_LOGIN.match(base64.b64decode(v, validate=True).decode("ascii")))
+    except ValueError:
+        return False
+
+
 def _body(v: str) -> str:
     """The part of a key after its prefix."""
     if v.startswith(("eyJ", "AKIA", "ASIA", "AIza")):
@@ -101,7 +123,7 @@ def _named_value(v: str) -> bool:
     """A literal value that is a credential under a name that says so."""
     if _ruled_out(v) or _SETTING.match(v) or _UUID.match(v) or any(c.isspace() for c in v) or v.startswith(("sha1-", "sha256-", "sha512-", "-----BEGIN")):
         return False
-    if "://" in v or v.startswith(("/", "./", "http")):
+    if "://" in v or v.startswith(("./", "http")) or v.startswith("/") and chars_per_subword(v) >= UNNATURAL:
         return False
     return bool(_HEX.match(v)) and chars_per_subword(v) < UNNATURAL or bool(_PASSPHRASE.match(v)) or _key_form(v) or len(v) >= 12 and _random_like(v)
 
@@ -190,17 +212,27 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
         u = _URL.search(v) if "://" in v else None
         if u and not _ruled_out(u[2]) and not _SETTING.match(u[2]):
             add(a + 1, done - 1, "address")
-        elif len(v) >= 18 and _key_form(v):
+        elif len(v) >= 18 and _pieced(v):
             named = _BEFORE.search(text[text.rfind("\n", 0, a) + 1 : a + 1])
-            if not (named and _OPEN_NAME.search(named[1])):
+            if not (named and _PUBLIC_NAME.search(named[1])):
                 add(a + 1, done - 1, "key")
+    if ".join(" in text:
+        for m in _LIST.finditer(text):
+            end, pieces = m.end(), []
+            while p := _LIST_ITEM.match(text, end):
+                pieces.append(p)
+                end = p.end()
+            v = "".join(p[2] for p in pieces)
+            named = _BEFORE.search(text[text.rfind("\n", 0, m.start()) + 1 : m.start() + (text[m.start()] in "=:(,")])
+            if len(pieces) > 1 and not (named and _PUBLIC_NAME.search(named[1])) and (_pieced(v) or named and _SECRET_NAME.search(named[1]) and _named_value(v)):
+                add(pieces[0].start(2), pieces[-1].end(2), "key")
     for m in _RANDOM.finditer(text):
         v = m[0].rstrip(".=") if m[0].startswith("eyJ") else m[0].rstrip(".")
         if any(map(str.isdigit, v)) or v.startswith(("AKIA", "ASIA")):
-            if _key_form(v):
+            if _key_form(v) or _encoded_login(v):
                 a = text.rfind("\n", 0, m.start()) + 1
                 named = _BEFORE.search(text[a : m.start()])
-                if not (named and _OPEN_NAME.search(named[1])) and not _data_row(text, a, m.start(), m.end()):
+                if not (named and _PUBLIC_NAME.search(named[1])) and not _data_row(text, a, m.start(), m.end()):
                     add(m.start(), m.start() + len(v), "key")
     for a, b in lines:
         for m in _SPOKEN.finditer(text, a, b):
