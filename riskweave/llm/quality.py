@@ -33,6 +33,8 @@ _END = re.compile(r"""[.!?…;]["'”’»)*_]*$""")
 _STRIP = ".,;:!?\"'“”()*_`"
 #: A running sentence has so many words, most of them plain words, some of them common ones.
 SENTENCE_WORDS, PLAIN_SHARE, COMMON_SHARE = (4, 60), 0.7, 0.12
+#: Share of common words of text that runs on without an end.
+RUN_ON = (0.2, 0.55)
 
 STATS = ["n_chars", "n_words", "n_lines", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_lines", "common_share", "plain_share", "mean_line_words", "sentence_share"]
 #: What the mixture sees.
@@ -40,12 +42,18 @@ FEATURES = ["mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_lines", "
 _SQUEEZE = {"mean_word_len": 20.0, "mean_line_words": 40.0}
 
 
-def _sentence(words: list[str], chars: int) -> int:
-    """``chars`` when the words make a running sentence, else 0."""
+def _sentence(words: list[str], chars: int, ended: bool = True) -> int:
+    """``chars`` when the words make a running sentence, else 0.
+
+    Words without an end, or too many for one sentence, still run on when common words are mixed in as prose has them:
+    neither as rare as in a list of names nor as frequent as in a heap.
+    """
     n = len(words)
-    if not SENTENCE_WORDS[0] <= n <= SENTENCE_WORDS[1] or sum(1 for w in words if _WORD.match(w)) < PLAIN_SHARE * n:
+    if n < SENTENCE_WORDS[0] or sum(1 for w in words if _WORD.match(w)) < PLAIN_SHARE * n:
         return 0
     common = sum(1 for w in words if w.strip(_STRIP).lower() in _COMMON or "'" in w[:3])
+    if not ended or n > SENTENCE_WORDS[1]:
+        return chars if n >= 12 and RUN_ON[0] * n <= common <= RUN_ON[1] * n else 0
     return chars if common >= max(1, COMMON_SHARE * n) else 0
 
 
@@ -63,7 +71,7 @@ def sentence_chars(text: str) -> int:
                     got += _sentence(words, chars)
                     words, chars = [], 0
         para.clear()
-        return got
+        return got + _sentence(words, chars, ended=False)
 
     for line in text.split("\n"):
         s = _PREFIX.sub("", line.strip()).strip()
