@@ -72,5 +72,5 @@ def heavy_keys(df: DataFrame, key: str, unit: str, share: float) -> DataFrame:
     """
     pairs = df.select(F.col(key).alias("_k"), F.col(unit).alias("_u")).where("_k is not null and _u is not null").groupBy("_k", "_u").agg(F.lit(1).alias("one"))
     per = pairs.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.select("_u").distinct().agg(F.count(F.lit(1)).alias("total"))  # one row
-    return per.join(F.broadcast(total)).where(F.col("n") > F.lit(share) * F.col("total")).select(F.col("_k").alias(key), "n")
+    total = pairs.select("_u").distinct().count()
+    return per.where(F.col("n") > F.lit(share) * F.lit(total)).select(F.col("_k").alias(key), "n")

@@ -63,10 +63,10 @@ def gate(f: DataFrame, by: str, fail_on: int = 4) -> DataFrame:
 
 def shown_by_profile(f: DataFrame) -> DataFrame:
     """(profile, shown, hidden, advisory): findings above, below the profile's floor, and advisory ones."""
-    p = F.broadcast(dims.profiles(f.sparkSession).select("profile", "floor"))
     # severities and tiers are counted first: at most a dozen rows meet the four profiles
     c = f.groupBy("sev_value", F.coalesce("confidence_tier", F.lit("")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-    x = c.join(p)
+    four = F.array(*[F.struct(F.lit(p[0]).alias("profile"), F.lit(p[1]).alias("floor")) for p in dims.PROFILES])
+    x = c.withColumn("p", F.explode(four)).select("sev_value", "tier", "n", "p.profile", "p.floor")
     adv, up = F.col("tier") == "advisory", F.col("sev_value") >= F.col("floor")
     pick = lambda cond, name: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(name)
     return x.groupBy("profile").agg(pick(~adv & up, "shown"), pick(~adv & ~F.coalesce(up, F.lit(False)), "hidden"), pick(adv, "advisory"))
