@@ -36,10 +36,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     whose documents have no tokens, gets 0 copies and is short when its target is above 0.
     """
     per = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
-    # two rows of few columns a source: the grouped table is as small as the number of sources
-    total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    per = cut(per)  # one row a source, so that the texts are read once for both uses
+    total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     t = targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).withColumn("key", source_key())
-    x = t.join(per.where("key is not null"), "key", "left").crossJoin(F.broadcast(total)).fillna(0, ["docs", "tokens"])
+    x = t.join(per.where("key is not null"), "key", "left").withColumn("total", F.lit(total).cast("long")).fillna(0, ["docs", "tokens"])
     want = F.col("target_share") * F.col("total")
     x = x.withColumn("copies", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), want / F.col("tokens"))).otherwise(0.0))
     return x.withColumn("short", F.col("max_repeats") * F.col("tokens") < want)
@@ -79,8 +79,9 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     p = cut(plan(s, table(spark, d, "mix_targets")))
     got = systematic(s, p).groupBy("source").agg(F.sum("copies").alias("copies_taken"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens_taken"))
     x = p.select("source", "target_share", "max_repeats", "docs", "tokens", F.round("copies", 6).alias("repeats"), "short").join(got, "source", "left").fillna(0, ["copies_taken", "tokens_taken"])
-    all_ = got.agg(F.sum("tokens_taken").alias("taken"))
-    return x.crossJoin(F.broadcast(all_)).withColumn("actual_share", F.round(F.col("tokens_taken") / F.col("taken"), 6)).drop("taken")
+    x = cut(x)  # one row a target source
+    taken = x.agg(F.coalesce(F.sum("tokens_taken"), F.lit(0))).first()[0]
+    return x.withColumn("actual_share", F.round(F.col("tokens_taken") / F.lit(max(taken, 1)), 6))
 
 
 QUERIES = {"p9_found": p9_found, "p9_copies": p9_copies, "p9_report": p9_report}
