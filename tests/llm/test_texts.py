@@ -33,6 +33,9 @@ def test_origins(spark):
     got = {r["file_id"]: r["kind"] for r in o.collect()}
     assert got == {1: "written", 2: "generated", 3: "generated", 4: "data", 5: "minified", 6: "lock", 7: "vendored", 8: "vendored", 9: "generated", 10: "generated", 11: "written", 12: "written", 13: "written", 14: "written", 15: "written", 16: "written", 17: "written"}
     assert o.count() == len(rows)
+    ups = spark.createDataFrame([(up,), (None,), ("",), (up,)], "text string")
+    assert {r[0] for r in origin.copies_by_join(files(spark, [(*r, "q") for r in rows]), ups).collect()} == {8}
+    assert {r["file_id"]: r["kind"] for r in origin.origins(files(spark, [(*r, "q") for r in rows[7:9]]), ups, block=1).collect()} == {8: "vendored", 9: "generated"}
     c = {r["file_id"]: r["cluster"] for r in o.collect()}
     assert c[2] == c[3] and c[1] == c[16] == c[17] and c[1] != c[2]
     assert origin.origins(files(spark, [(*rows[0], "q")]).limit(0), spark.createDataFrame([(up,)], "text string")).count() == 0
