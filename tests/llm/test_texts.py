@@ -201,3 +201,35 @@ def test_found_columns(spark, sf):
         assert df.columns == cols
         rows = df.collect()
         assert rows and len(rows) == len(set(rows))
+
+
+def test_origin_clusters_equal_brute_force(spark):
+    """Versions that drift, all in one bucket: neighbours overlap by 0.8 or more, versions further apart do not."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for length in (3, 4, 12):
+        pool = rng.integers(0, 1 << 63, 100 + 8 * length, dtype=np.uint64)
+        sets += [np.unique(pool[8 * i : 8 * i + 100]) for i in range(length)]  # overlap 92 of 108, then 84 of 116
+    sets += [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(5)]
+    short = [(s >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for s in sets]
+    order = rng.permutation(len(sets)).tolist()
+    rows = [(order[i], len(s), *origin.sketch(s), [1], x) for i, (s, x) in enumerate(zip(sets, short, strict=True))]
+    df = spark.createDataFrame(rows, "cls long, k int, s0 long, s1 long, s2 long, s3 long, bands array<int>, shingles array<int>")
+    top = {c: c for c in order}
+
+    def find(c):
+        while top[c] != c:
+            c = top[c]
+        return c
+
+    for i, x in enumerate(short):
+        for j in range(i):
+            both = len(set(x) & set(short[j]))
+            if both >= 0.8 * (len(x) + len(short[j]) - both):
+                top[max(find(order[i]), find(order[j]))] = min(find(order[i]), find(order[j]))
+    want = {c: find(c) for c in order}
+    assert len(set(want.values())) == 8
+    got = {r["cls"]: r["cluster"] for r in origin.components(origin.near_links(df, 8)).collect()}
+    assert {c: got.get(c, c) for c in order} == want
