@@ -22,6 +22,8 @@ from riskweave.runtime import spread, table
 
 #: A string with fewer characters per subword than this is unnatural.
 UNNATURAL = 2.6
+#: A spoken credential is sought in so many words after the word for a secret, and beyond them to the end of the sentence.
+SPOKEN_WORDS = 6
 
 _SECRET_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|login|auth(?:orization)?|api[_ -]?key|(?:access|private|signing|secret|service|encryption|account|license|shared|master|deploy|session)[_ -]?key"
 _SECRET_NAME = re.compile(rf"(?i)(?:{_SECRET_WORD})(?![a-z])|(?i:apikey)|_pass\b")
@@ -46,6 +48,9 @@ _HEADER = re.compile(r"""\b([Bb]asic|[Bb]earer|[Tt]oken)[ \t]+([A-Za-z0-9+/=._~!
 _CURL = re.compile(r"""(?:\s-u|--user)[ =]["']?([\w.-]+):([^\s"'@]{4,})""")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"""(?:\\[nr]|["'`\s+,()\\#*>|-])*([A-Za-z0-9+/=]{16,})""")
+#: A further line of a key: a long one by itself, or a short last one.
+_PEM_MORE = re.compile(r"""(?:\\[nr]|["'`\s+,()\\#*>|-])*(?:[A-Za-z0-9+/=]{16,}+|(?:(?=[A-Za-z/+]*\d)[A-Za-z0-9+/]+=*|[A-Za-z0-9+/]*=+|[A-Za-z0-9+/]+(?=(?:\\[nr]|["'`\s+,()\\#*>|])*-----END))(?![\w+/=]))(?=[ \t]*(?:["'`\\\r\n]|-----|$))""")
+_PEM_END = re.compile(r"-----END[A-Z0-9 ]*-----")
 # name, separator, value; a type annotation or a closing bracket may stand between
 _ASSIGN = re.compile(
     r"""([A-Za-z_][\w.-]*)["'`]?\]?[ \t]*(?::[ \t]*(?:str|string|String|any|&str|Optional\[str\])[ \t]*)?(?::=|=>|=(?!=)|:(?![:=/]))[ \t]*(?:\([ \t]*)?(?:[rbuf]{0,2}(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)|(?P<b>[^\s"'`,;(){}\[\]]+))"""
@@ -53,7 +58,8 @@ _ASSIGN = re.compile(
 _SEAM = re.compile(r"""[ \t]*(?:[+.\\]|\.\.)?[ \t]*\\?(?:\r?\n[ \t]*(?:[+.][ \t]*)?)?[rbuf]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1""")
 _PLUS = re.compile(r"""(?<=[\w=+/:@!?#%*-])["'`](?:[ \t]*\+[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\\?\r?\n[ \t]*\+?[ \t]*|[ \t]+)["'`](?=[\w=+/:@!?#%*-])""")
 _RANDOM = re.compile(r"(?<![\w+/.\\-])[A-Za-z][\w+/.-]{17,}={0,2}")
-_LIST = re.compile(r"""(?:""|''|``)\.join\([ \t]*[\[(]|[=:(,][ \t]*\[(?=[^\]\n]{2,300}\]\.join\((?:""|''|``)\))""")
+_LIST = re.compile(r"""(?:""|''|``)\.join\([ \t]*[\[(]|[=:(,][ \t]*(\[)(?=[ \t\r\n]*[rbuf]{0,2}["'`])""")
+_LIST_END = re.compile(r"""\][ \t\r\n]*\.join\((?:""|''|``)\)""")
 _LIST_ITEM = re.compile(r"""[ \t\r\n]*[rbuf]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)*)\1[ \t\r\n]*,?""")
 _LOGIN = re.compile(r"^[\w.@-]{2,40}:[!-~]{6,60}$")
 _BEFORE = re.compile(r"""([A-Za-z_][\w-]*)["'`]?[ \t]*(?::[ \t]*\w+[ \t]*)?(?::=|=>|[:=])[ \t(]*["'`]?$""")
@@ -184,9 +190,13 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
         for m in _PEM.finditer(text):
             b = _PEM_BODY.match(text, m.end())
             if b and not _ruled_out(b[1]) and chars_per_subword(b[1]) < UNNATURAL:
-                end = text.find("-----END", b.end(), b.end() + 8000)
-                stop = re.compile(r"-----END[A-Z0-9 ]*-----").match(text, end) if end >= 0 else None
-                add(m.start(), stop.end() if stop else b.end(), "private key")
+                last = b.end()
+                while more := _PEM_MORE.match(text, last):
+                    last = more.end()
+                # the end of the block may stand behind lines of another form, but not far off
+                end = text.find("-----END", b.end(), max(last + 200, b.end() + 8000))
+                stop = _PEM_END.match(text, end) if end >= 0 else None
+                add(m.start(), stop.end() if stop else last, "private key")
     lines = _speaking_lines(text)
     for a, b in lines:
         for m in _ASSIGN.finditer(text, a, b):
@@ -206,7 +216,7 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     for m in _PLUS.finditer(text):
         q = text[m.start()]
         a = text.rfind(q, text.rfind("\n", 0, m.start()) + 1, m.start())
-        if a < done or m.start() - a > 200:
+        if a < done:
             continue
         v, done = _joined(text, m.start() + 1, text[a + 1 : m.start()])
         u = _URL.search(v) if "://" in v else None
@@ -222,6 +232,8 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
             while p := _LIST_ITEM.match(text, end):
                 pieces.append(p)
                 end = p.end()
+            if m[1] and not _LIST_END.match(text, max(0, text.find("]", end))):
+                continue
             v = "".join(p[2] for p in pieces)
             named = _BEFORE.search(text[text.rfind("\n", 0, m.start()) + 1 : m.start() + (text[m.start()] in "=:(,")])
             if len(pieces) > 1 and not (named and _PUBLIC_NAME.search(named[1])) and (_pieced(v) or named and _SECRET_NAME.search(named[1]) and _named_value(v)):
@@ -235,16 +247,22 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
                 if not (named and _PUBLIC_NAME.search(named[1])) and not _data_row(text, a, m.start(), m.end()):
                     add(m.start(), m.start() + len(v), "key")
     for a, b in lines:
+        bare = 0  # up to here the sentence is known to hold no value
         for m in _SPOKEN.finditer(text, a, b):
             if not _spoken_place(text, a, m.start()):
                 continue
-            for p in list(_PIECE.finditer(text, m.end(), min(b, m.end() + 160)))[:6]:
+            stopped = m.end() < bare
+            for k, p in enumerate(_PIECE.finditer(text, m.end(), b)):
+                if k >= SPOKEN_WORDS and stopped:
+                    break
                 v = p[0].strip("\"'`,;:()[]<>{}")
+                stopped |= v.endswith((".", "!", "?"))
                 v = v.rstrip(".")
                 if _spoken_value(v):
                     at = p.start() + p[0].find(v)
                     add(at, at + len(v), "spoken")
                     break
+                bare = max(bare, p.end())
     got.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for g in got:
