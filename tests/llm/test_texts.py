@@ -256,3 +256,15 @@ def test_credentials_of_any_length():
     assert credentials.find_credentials("const k = [\n" + "".join(f"  '{s[i : i + 8]}',\n" for i in range(0, 80, 8)) + "].join('');\n")
     assert not credentials.find_credentials("const k = [\n" + "".join(f"  '{s[i : i + 8]}',\n" for i in range(0, 80, 8)) + "];\nw = v.join('');\n")
     assert credentials.find_credentials(f"k = '{rand(240)}' + '{rand(40)}'\n")
+
+
+def test_declarations_after_a_long_licence():
+    code = ["package a", "", *[f"var x{i} = {i}" for i in range(30)]]
+    mark = "// Code generated by protoc-gen-go. DO NOT EDIT."
+    told = lambda lines: any(origin.DECLARED_OUTPUT.match(x) for x in origin.edges(lines))
+    line, block = [f"// Licence text {i}" for i in range(14)], ["/*", *[f"   Licence text {i}" for i in range(14)], "*/"]
+    for licence in (line, block, ["#!/bin/x", "", *line], ["<!--", "a", "b", "c", "d", "e", "f", "-->"]):
+        assert told([*licence, "", mark, *code])
+        assert told([*code, mark, "", *licence])
+    assert not told([*line, *code, mark, *code]) and not told(["/* a */", *code, mark, *code])
+    assert not told(code) and not told([""]) and told([mark])
