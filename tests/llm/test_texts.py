@@ -268,3 +268,10 @@ def test_declarations_after_a_long_licence():
         assert told([*code, mark, "", *licence])
     assert not told([*line, *code, mark, *code]) and not told(["/* a */", *code, mark, *code])
     assert not told(code) and not told([""]) and told([mark])
+
+
+def test_repos_of_a_cluster_are_exact(spark):
+    rows = [(i, f"r{i // 2}", f"a/f{i}.py", ".py", HAND, "") for i in range(6001)] + [(-1, None, "a/n.py", ".py", HAND, "")]
+    up = spark.createDataFrame([], "text string")
+    got = origin.origins(files(spark, rows).repartition(4), up).select("files", "repos").distinct().collect()
+    assert [tuple(r) for r in got] == [(6002, 3001)]
