@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.runtime import cut
+from riskweave.runtime import cut, drop
 
 
 def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], node: str = "node", most: int = 10_000) -> DataFrame:
@@ -21,8 +21,10 @@ def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], node: str = "node
         step = delta.withColumnRenamed(node, "src").join(e, [*keys, "src"]).select(*keys, F.col("dst").alias(node)).distinct()
         delta = cut(step.join(known, [*keys, node], "left_anti"))
         if delta.isEmpty():
+            drop(delta)
             return known
-        known = cut(known.unionByName(delta))
+        known, old = cut(known.unionByName(delta)), known
+        drop(old)
     raise RuntimeError(f"no fix-point after {most} rounds")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL: list[str] = []  # the temporary folder of a local session
+
 
 def build_session(app: str = "riskweave", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the engine expects (AQE on, UTC, Arrow on)."""
@@ -35,22 +40,43 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local (tests, a laptop) is a temporary folder made, and removed when the
+    process ends; on a cluster without the setting this raises.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="riskweave-tables-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder all executors share.
+    """``df`` as a table written to the shared folder: its lineage ends there, and a lost executor costs a read.
 
-    The cluster's ``spark.checkpoint.dir`` is read from the session. Only where it is unset and the master is local
-    (tests, a laptop) is a temporary folder made; on a cluster without the setting this raises.
+    Unlike ``checkpoint()``, which runs the plan once for its count and again for its files, the plan runs once; the table is
+    compressed, and its size is known to the planner. ``drop`` removes it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            path = tempfile.mkdtemp(prefix="riskweave-checkpoint-")
-        sc.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Removes the files of a table written by ``cut``, once nothing lazy reads it any more; other frames are left alone."""
+    path = getattr(df, "_written", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
