@@ -122,7 +122,7 @@ def test_syntax(lang):
         assert syntax.verdict(lang, t) == [], t
     for t in BAD[lang]:
         bad = syntax.verdict(lang, t)
-        assert bad and syntax.cost_of(lang, bad)[0] >= 1, t
+        assert bad and syntax.repair(lang, t)[0] >= 1, t
     assert syntax.verdict(lang, None) == syntax.verdict(lang, "") == syntax.verdict(lang, " \n") == []
 
 
@@ -318,3 +318,12 @@ def test_recall_at_the_threshold(spark):
         total += 1
         found += any(p == q for p, q in zip(origin.bands(x), origin.bands(y), strict=True))
     assert total > 500 and found / total >= 0.88
+
+
+def test_repair_cost_of_long_and_deep_files():
+    costs = [syntax.repair("js", "x = " + "a " * n + ";\n")[0] for n in (19, 181)]
+    assert costs[0] >= 17 and costs[1] >= 179
+    one = "x = [" + ", ".join(f"f({i})" for i in range(300)) + ", = 3]\n"
+    assert syntax.repair("py", one)[0] in (1, 2) and syntax.repair("js", "y = " + " + ".join(f"a{i}" for i in range(300)) + " + ;\n")[0] == 1
+    assert syntax.repair("json", "[" * 40_000)[0] == 40_000 and syntax.repair("json", "[" * 900 + "]" * 900)[0] == 0
+    assert syntax.reduce("js", "f([a)](b){c}") == ("f([a)]PC", []) or syntax.reduce("js", "f([a)](b){c}")[0] == "f([a)]PC"
