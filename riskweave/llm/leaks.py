@@ -1,14 +1,14 @@
 """Problem 8: evaluation items inside documents, in whole or in part.
 
 Windows of words are embedded by the CGK random walk, which turns edit distance into Hamming distance: at step j the walk
-writes the word under its cursor and moves on or stays by a shared random bit of (j, word). Bit sampling over the written
-words gives hash keys; several independent walks and samples reach the wanted recall. Windows of items (every offset) meet
-windows of documents (every second offset) under equal keys, and each meeting pair of document and item is verified by
-exact local alignment over the whole texts.
-
-The items are the query set. They are read in blocks of a fixed number, and one block's index (a bounded array of keys)
-goes to every task, so documents are never shuffled. The memory of a task is bounded by the block, not by the number of
-items.
+writes the word under its cursor and moves on or stays by a random bit of (j, word). Bit sampling over the written words
+gives hash keys; several independent walks and samples reach the wanted recall. An item can be held in two stretches, so
+its windows are of the size of the least stretch that counts; an item shorter than that has one window of its own size.
+
+Windows of items (every offset) meet windows of documents under equal keys in a join. A document only sends the keys of
+which a bit map of all items' keys, of fixed size, knows; the pairs that meet are reduced, before they are shuffled, to the
+parts of the item in which they meet, and a pair goes on when these are as many as half of the item must have. Such pairs
+are verified by local alignment over the whole texts.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskweave.runtime import spread, table
+from riskweave.runtime import broadcast_if_small, cut, spread, table
 
 WINDOW, STEPS, SAMPLE, WALKS, STRIDE = 8, 18, 8, 6, 2
-#: Least share of the item's words held, most changed words per held word, and least words of a stretch.
-HELD, CHANGED, STRETCH = 0.46, 1 / 6, 8
-#: Half an item with each eighth word changed still shares 5/16 of its trigrams; pairs below this are not aligned.
-GRAMS = 0.24
-BLOCK = 20_000
+#: Least share of the item's words held, most changed words per held word, least words of a stretch, and of a quotation.
+HELD, CHANGED, STRETCH, QUOTED = 0.46, 1 / 6, 8, 10
+#: An item is cut into parts of PART words; windows must meet in one part for each SPAN words of it, one at least.
+PART, SPAN = 8, 32
+#: Bits of the map of the items' keys.
+BITS = 1 << 24
 
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
 _BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>#*]*(?=[^\W\d_])")
@@ -45,168 +47,235 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class ItemIndex:
-    """The index of a block of items: their word numbers, trigrams, and sorted window keys of each walk."""
-
-    def __init__(self, items: list[tuple[object, str]], seed: int = 11):
-        self.ids = [i for i, _ in items]
-        tokens = [words_of(t) for _, t in items]
-        self.vocab = {w: k for k, w in enumerate(sorted({w for t in tokens for w in t}), 1)}  # 0: a word of no item
-        self.texts = [np.array([self.vocab[w] for w in t], np.int32) for t in tokens]
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (WALKS, STEPS, len(self.vocab) + 1), dtype=np.int8)
-        self.bits[:, :, 0] = rng.integers(0, 2, (WALKS, STEPS))
-        self.samples = [np.sort(rng.choice(STEPS, SAMPLE, replace=False)) for _ in range(WALKS)]
-        self.grams = [frozenset(_trigrams(t).tolist()) for t in self.texts]
-        flat, starts, owner = _flatten(self.texts, 1)
-        self.keys, self.owners = [], []
-        for r in range(WALKS):
-            k = self.embed(flat, starts, r)
-            pairs = np.unique(np.stack([k.view(np.int64), owner.astype(np.int64)], 1), axis=0) if len(k) else np.zeros((0, 2), np.int64)
-            self.keys.append(pairs[:, 0].copy())
-            self.owners.append(pairs[:, 1].astype(np.int32))
-
-    def embed(self, flat: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """The sampled words of walk r over the window at each start, hashed to one number."""
-        at, end = starts.copy(), starts + WINDOW
-        key = np.zeros(len(starts), np.uint64)
-        wanted = set(self.samples[r].tolist())
-        for j in range(int(self.samples[r][-1]) + 1):
-            word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], -1)
-            if j in wanted:
-                key = (key ^ (word + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            at = at + self.bits[r, j, np.maximum(word, 0)]
-        return key
-
-    def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) positions that share a key in at least one walk."""
-        flat, starts, owner = _flatten(texts, STRIDE)
-        found: set[tuple[int, int]] = set()
-        if not len(starts):
-            return found
-        # a window in which most words belong to no item can't be within the edits allowed
-        known = np.concatenate([[0], np.cumsum(flat > 0)])
-        ok = known[np.minimum(starts + WINDOW, len(flat))] - known[starts] >= WINDOW - 3
-        starts, owner = starts[ok], owner[ok]
-        for r in range(WALKS):
-            k = self.embed(flat, starts, r).view(np.int64)
-            lo = np.searchsorted(self.keys[r], k, "left")
-            hit = np.flatnonzero((lo < len(self.keys[r])) & (self.keys[r][np.minimum(lo, len(self.keys[r]) - 1)] == k)) if len(self.keys[r]) else []
-            for h in hit:
-                p = lo[h]
-                while p < len(self.keys[r]) and self.keys[r][p] == k[h]:
-                    found.add((int(owner[h]), int(self.owners[r][p])))
-                    p += 1
-        return found
-
-    def holds(self, doc: np.ndarray, grams: set[int], item: int) -> bool:
-        """Exact: whether the document holds the item (at least HELD of its words in one or two stretches in order)."""
-        x = self.texts[item]
-        n = len(x)
-        if not n or len(self.grams[item] & grams) < GRAMS * len(self.grams[item]):
-            return False
-        best = _stretch(x, doc)
-        if best is None:
-            return False
-        i0, i1, j0, j1, changed = best
-        held = i1 - i0
-        if held < HELD * n:
-            more = [s for s in (_stretch(x[:i0], doc[:j0]), _stretch(x[i1:], doc[j1:])) if s]
-            if more:
-                a = max(more, key=lambda s: s[1] - s[0])
-                held, changed = held + a[1] - a[0], changed + a[4]
-        return held >= HELD * n and changed <= CHANGED * held
+def _rng_walks(seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, 1 << 62, WALKS, dtype=np.uint64) | np.uint64(1), [np.sort(rng.choice(STEPS, SAMPLE, replace=False)) for _ in range(WALKS)]
 
 
-def _trigrams(t: np.ndarray) -> np.ndarray:
-    return (t[:-2].astype(np.int64) << 42) | (t[1:-1].astype(np.int64) << 21) | t[2:] if len(t) > 2 else np.zeros(0, np.int64)
+_SALTS, _SAMPLES = _rng_walks()
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_WORDS: dict[str, int] = {}
+
+
+def _numbers(words: list[str]) -> np.ndarray:
+    """A 64-bit number for each word, the same in every process."""
+    import xxhash
+
+    if len(_WORDS) > 2_000_000:
+        _WORDS.clear()
+    out = []
+    for w in words:
+        h = _WORDS.get(w)
+        if h is None:
+            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
+        out.append(h)
+    return np.array(out, np.uint64)
 
 
-def _flatten(texts: list[np.ndarray], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array, the starts of their windows, and each window's text; short texts have one window."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _GOLD
+    return h ^ (h >> np.uint64(29))
+
+
+def _flatten(texts: list[np.ndarray], size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array, the starts of their windows of ``size`` words, and each window's text; shorter texts have none.
+    The last window of a text is among its windows."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.concatenate([*texts, np.zeros(WINDOW, np.int32)]) if len(texts) else np.zeros(WINDOW, np.int32)
+    flat = np.concatenate([*texts, np.zeros(WINDOW, np.uint64)])
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    n = np.where(sizes > 0, np.maximum(1, (np.maximum(sizes - WINDOW, 0) // stride) + 1), 0)
+    n = np.where(sizes >= size, -(-(sizes - size) // stride) + 1, 0)
     owner = np.repeat(np.arange(len(texts)), n)
-    nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-    return flat, first[owner] + nth * stride if len(owner) else np.zeros(0, np.int64), owner
+    nth = (np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)) * stride
+    return flat, first[owner] + np.minimum(nth, sizes[owner] - size) if len(owner) else np.zeros(0, np.int64), owner
+
+
+def window_keys(texts: list[np.ndarray], size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, offset) of every window and walk. Windows below WINDOW words belong to items that allow no change: their
+    key is that of all their words."""
+    flat, starts, owner = _flatten(texts, size, stride)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1].astype(np.int64)
+    offset = starts - first[owner] if len(owner) else starts
+    if size < WINDOW:
+        key = np.full(len(starts), size, np.uint64)
+        for j in range(size):
+            key = _mixed(key ^ flat[starts + j])
+        return key.view(np.int64), owner, offset
+    keys = []
+    for r in range(WALKS):
+        moves = _mixed(flat * _SALTS[r])
+        at, end = starts.copy(), starts + size
+        key = np.full(len(starts), 1000 + r, np.uint64)
+        wanted = set(_SAMPLES[r].tolist())
+        for j in range(int(_SAMPLES[r][-1]) + 1):
+            inside = at < end
+            if j in wanted:
+                key = _mixed(key ^ np.where(inside, flat[at], np.uint64(1)))
+            at = at + (inside & ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(bool))
+        keys.append(key)
+    return np.concatenate(keys).view(np.int64), np.tile(owner, WALKS), np.tile(offset, WALKS)
 
 
-def _stretch(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int] | None:
-    """Best local alignment of x in y (match 1, any edit -2): (x from, to, y from, to, edits); None below STRETCH words."""
+def _trigrams(t: np.ndarray) -> np.ndarray:
+    return (t[:-2].astype(np.int64) << 42) | (t[1:-1].astype(np.int64) << 21) | t[2:] if len(t) > 2 else np.zeros(0, np.int64)
+
+
+def _stretch(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int, int, int] | None:
+    """Best local alignment of x in y (match 1, any edit -2): (x from, to, y from, to, edits); None below ``least`` words.
+
+    Row by row with one row kept: each cell carries where its alignment began and how many edits it has.
+    """
     n, m = len(x), len(y)
-    if n < STRETCH or m < STRETCH:
+    if n < least or m < least:
         return None
-    h = np.zeros((n + 1, m + 1), np.int32)
-    step = 2 * np.arange(m + 1, dtype=np.int32)
+    step, place = 2 * np.arange(m + 1, dtype=np.int64), np.arange(m + 1)
+    h, si, sj, e = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), place.copy(), np.zeros(m + 1, np.int64)
+    best, got = 0, None
     for i in range(1, n + 1):
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(h[i - 1, :-1] + np.where(y == x[i - 1], 1, -2), h[i - 1, 1:] - 2)
-        np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + step) - step
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    i1, j1, edits = int(i), int(j), 0
-    i, j = i1, j1
-    while i and j and h[i, j] > 0:
-        if x[i - 1] == y[j - 1] and h[i, j] == h[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j - 1] - 2:
-            i, j, edits = i - 1, j - 1, edits + 1
-        elif h[i, j] == h[i - 1, j] - 2:
-            i, edits = i - 1, edits + 1
-        else:
-            j, edits = j - 1, edits + 1
-    return (i, i1, j, j1, edits) if i1 - i >= STRETCH else None
-
-
-def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id): documents with the items they hold.
-
-    ``docs`` has doc_id and text, ``items`` item_id and text; null and empty texts hold and are held by nothing. Repeated
-    rows give repeated results only across blocks; the caller takes distinct pairs.
+        same = y == x[i - 1]
+        diag, up = h[:-1] + np.where(same, 1, -2), h[1:] - 2
+        across = diag >= up
+        row, ri, rj, re_ = np.zeros(m + 1, np.int64), np.full(m + 1, i, np.int64), place.copy(), np.zeros(m + 1, np.int64)
+        top = np.where(across, diag, up)
+        live = np.flatnonzero(top > 0)
+        row[live + 1] = top[live]
+        from_ = np.where(across[live], live, live + 1)
+        ri[live + 1], rj[live + 1], re_[live + 1] = si[from_], sj[from_], e[from_] + np.where(across[live], ~same[live], True)
+        run = np.maximum.accumulate(row + step)
+        k = np.maximum.accumulate(np.where(row + step == run, place, 0))  # where the run of insertions began
+        h = run - step
+        si, sj, e = ri[k], rj[k], re_[k] + (place - k)
+        j = int(h.argmax())
+        if h[j] > best:
+            best, got = int(h[j]), (int(si[j]), i, int(sj[j]), j, int(e[j]))
+    return got if got and got[1] - got[0] >= least else None
+
+
+def _near(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The parts of ``doc`` within len(x) words of a trigram of x; as many words of no item stand between two parts as no
+    alignment can bridge. Every stretch that counts shares a trigram with the item, so none is lost."""
+    n = len(x)
+    hit = np.flatnonzero(np.isin(_trigrams(doc), _trigrams(x)))
+    if not len(hit):
+        return doc[:0]
+    if len(doc) <= 4 * n:
+        return doc
+    out, a, b = [], max(0, int(hit[0]) - n), int(hit[0]) + n + 3
+    for h in hit[1:].tolist():
+        if h - n > b:
+            out += [doc[a:b], np.zeros(n, doc.dtype)]
+            a = h - n
+        b = h + n + 3
+    return np.concatenate([*out, doc[a:b]])
+
+
+def holds(item: list[str], doc: list[str]) -> bool:
+    """Whether the document holds the item: at least HELD of its words, and QUOTED words where it has as many, in order in
+    one or two stretches of STRETCH words or more, with at most CHANGED of them changed. An item below STRETCH words must be
+    held whole and unchanged.
     """
-    spark = docs.sparkSession
-    x = spread(docs.select("doc_id", "text"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}"
-    kind = pa.int64() if dict(items.dtypes)["item_id"] == "bigint" else pa.string()
-    out, rows = None, []
-
-    def flush(rows: list) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(rows))  # at most ``block`` items
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = index.value
-            get = x.vocab.get
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    part = b.slice(at, 1000)
-                    texts = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in part.column(1).to_pylist()]
-                    by: dict[int, list[int]] = {}
-                    for dd, ii in x.candidates(texts):
-                        by.setdefault(dd, []).append(ii)
-                    got = []
-                    for dd, ii in sorted(by.items()):
-                        g = set(_trigrams(texts[dd]).tolist())
-                        got += [(dd, k) for k in sorted(ii) if x.holds(texts[dd], g, k)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([a for a, _ in got], pa.int64())), pa.array([x.ids[k] for _, k in got], kind)], names=["doc_id", "item_id"])
-
-        return docs_in.mapInArrow(run, schema)
-
-    docs_in = x
-    for r in items.where("text is not null").select("item_id", "text").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == block:
-            out = flush(rows) if out is None else out.unionByName(flush(rows))
-            rows = []
-    if rows or out is None:
-        out = flush(rows) if out is None else out.unionByName(flush(rows))
+    n = len(item)
+    if not n:
+        return False
+    vocab = {w: k for k, w in enumerate(dict.fromkeys(item), 1)}  # 0: a word that isn't the item's
+    x, y = np.array([vocab[w] for w in item], np.int32), np.array([vocab.get(w, 0) for w in doc], np.int32)
+    if n < STRETCH:
+        return len(y) >= n and bool((np.lib.stride_tricks.sliding_window_view(y, n) == x).all(1).any())
+    need = max(HELD * n, min(n, QUOTED))
+    # held words in two stretches have two trigrams less each, and a change spoils three at most
+    if int(np.isin(_trigrams(x), _trigrams(y)).sum()) < need - 4 - 3 * CHANGED * need:
+        return False
+    y = _near(x, y)
+    best = _stretch(x, y, STRETCH)
+    if best is None:
+        return False
+    i0, i1, j0, j1, changed = best
+    held = i1 - i0
+    if held < need:
+        more = [s for s in (_stretch(x[:i0], y[:j0], STRETCH), _stretch(x[i1:], y[j1:], STRETCH)) if s]
+        if more:
+            a = max(more, key=lambda s: s[1] - s[0])
+            held, changed = held + a[1] - a[0], changed + a[4]
+    return held >= need and changed <= CHANGED * held
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(key, item_id, part, need, size): the keys of all windows of the items, the part of the item each lies in, and in how
+    many parts of it windows must meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [_numbers(words_of(t)) for t in b.column(1).to_pylist()]
+            for size in sorted({min(len(w), WINDOW) for w in words} - {0}):
+                rows = [i for i, w in enumerate(words) if min(len(w), WINDOW) == size]
+                key, owner, offset = window_keys([words[i] for i in rows], size, 1)
+                need = np.array([max(1, len(words[i]) // SPAN) for i in rows])
+                ids = b.column(0).take(pa.array(np.array(rows)[owner]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids, pa.array((offset // PART % 64).astype(np.int32)), pa.array(need[owner].astype(np.int32)), pa.array(np.full(len(key), size, np.int32))], names=["key", "item_id", "part", "need", "size"])
+
+    return items.select("item_id", "text").mapInArrow(run, f"key bigint, item_id {dict(items.dtypes)['item_id']}, part int, need int, size int").distinct()
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A bit map of BITS bits with the bits of all ``key`` set: BITS / 8 bytes, whatever the number of keys."""
+    at = keys.select(F.pmod("key", F.lit(BITS)).cast("int").alias("at")).distinct()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in at.groupBy(F.shiftright("at", 14).alias("chunk")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 14) - 1)).cast("short")).alias("bits")).toLocalIterator():
+        i = r["chunk"] * (1 << 14) + np.array(r["bits"], np.int64)
+        np.bitwise_or.at(out, i >> 3, (1 << (i & 7)).astype(np.uint8))
     return out
 
 
+def document_keys(docs: DataFrame, sizes: list[int], known: np.ndarray) -> DataFrame:
+    """(doc_id, key): the keys of the documents' windows of the items' sizes that the map ``known`` has."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # BITS / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                texts = [_numbers(words_of(t)) for t in part.column(1).to_pylist()]
+                for size in sizes:
+                    key, owner, _ = window_keys(texts, size, STRIDE if size == WINDOW else 1)
+                    at = key % BITS
+                    ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    if ok.any():
+                        x = np.unique(np.stack([owner[ok], key[ok]], 1), axis=0)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x[:, 0])), pa.array(x[:, 1])], names=["doc_id", "key"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key bigint")
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents with the items they hold, distinct.
+
+    ``docs`` has doc_id and text, ``items`` item_id and text; null and empty texts hold and are held by nothing. Ids are
+    taken as unique; of repeated ones each text counts.
+    """
+    d = spread(docs.select("doc_id", "text"))
+    t = items.where("text is not null").select("item_id", "text")
+    w = cut(item_windows(t))
+    sizes = sorted(r[0] for r in w.select("size").distinct().collect())  # at most WINDOW
+    met = document_keys(d, sizes, key_map(w)).join(broadcast_if_small(w), "key").groupBy("doc_id", "item_id")
+    met = met.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("part"))).alias("parts"), F.max("need").alias("need"))
+    pairs = cut(met.where(F.bit_count("parts") >= F.col("need")).select("doc_id", "item_id"))
+    j = pairs.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id").join(broadcast_if_small(t.withColumnRenamed("text", "item"), 20_000), "item_id").select("doc_id", "item_id", "doc", "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, [])
+        for b in batches:
+            ok = []
+            for doc, item in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if last[0] != doc:
+                    last = (doc, words_of(doc))
+                ok.append(holds(words_of(item), last[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "item_id"]).filter(pa.array(ok, pa.bool_()))
+
+    return j.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")).distinct()
+    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
 
 
 QUERIES = {"p8_found": p8_found}
