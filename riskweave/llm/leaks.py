@@ -259,7 +259,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = document_keys(d, sizes, key_map(w)).join(broadcast_if_small(w), "key").groupBy("doc_id", "item_id")
     met = met.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("part"))).alias("parts"), F.max("need").alias("need"))
     pairs = cut(met.where(F.bit_count("parts") >= F.col("need")).select("doc_id", "item_id"))
-    j = pairs.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id").join(broadcast_if_small(t.withColumnRenamed("text", "item"), 20_000), "item_id").select("doc_id", "item_id", "doc", "item")
+    j = pairs.join(d.withColumnRenamed("text", "doc"), "doc_id").join(broadcast_if_small(t.withColumnRenamed("text", "item"), 20_000), "item_id").select("doc_id", "item_id", "doc", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, [])
