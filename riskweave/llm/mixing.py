@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.tokens import TOKENIZER_DIR, token_count
-from riskweave.runtime import cut, spread, table
+from riskweave.runtime import broadcast_if_small, cut, spread, table
 
 
 def source_key(c: str | Column = "source") -> Column:
@@ -48,7 +48,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def systematic(sizes: DataFrame, mix: DataFrame, seed: int = 7, bits: int = 12) -> DataFrame:
     """(doc_id, source, tokens, copies): documents with at least one copy. ``doc_id`` is taken as unique."""
     m = mix.select("key", "source", F.col("copies").alias("e")).where("e > 0")
-    h = sizes.join(F.broadcast(m), "key").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))  # one row a target source
+    h = sizes.join(broadcast_if_small(m), "key").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))  # one row a target source
     h = h.withColumn("blk", F.shiftrightunsigned("h", 64 - bits))
     per = h.groupBy("source", "blk").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("blk")) - F.col("n")).drop("n")
@@ -63,10 +63,6 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return sized(table(spark, d, "documents", "doc_id", "source", "text"))
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return plan(_sizes(spark, d), table(spark, d, "mix_targets")).where("short").select("source")
-
-
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: each document taken, with its number of copies."""
     s = cut(_sizes(spark, d))
@@ -78,11 +74,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     s = cut(_sizes(spark, d))
     p = cut(plan(s, table(spark, d, "mix_targets")))
     got = systematic(s, p).groupBy("source").agg(F.sum("copies").alias("copies_taken"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens_taken"))
-    x = p.select("source", "target_share", "max_repeats", "docs", "tokens", F.round("copies", 6).alias("repeats"), "short").join(got, "source", "left").fillna(0, ["copies_taken", "tokens_taken"])
+    x = p.select("source", "target_share", "max_repeats", "docs", "tokens", "total", F.round("copies", 6).alias("repeats")).join(got, "source", "left").fillna(0, ["copies_taken", "tokens_taken"])
     x = cut(x)  # one row a target source
+    # a source falls short when every one of its documents is used as often as it may be, and that is not enough
+    x = x.withColumn("short", (F.col("tokens_taken") == F.col("max_repeats") * F.col("tokens")) & (F.col("tokens_taken") < F.col("target_share") * F.col("total"))).drop("total")
     taken = x.agg(F.coalesce(F.sum("tokens_taken"), F.lit(0))).first()[0]
     return x.withColumn("actual_share", F.round(F.col("tokens_taken") / F.lit(max(taken, 1)), 6))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that fall short, by the copies drawn."""
+    return p9_report(spark, d).where("short").select("source")
+
+
 QUERIES = {"p9_found": p9_found, "p9_copies": p9_copies, "p9_report": p9_report}
 ORACLE: dict = {}

@@ -2,8 +2,9 @@
 
 Statistics are taken over whole texts. The mixture is fitted by expectation-maximization over all documents: every
 iteration is one distributed pass that adds up each component's sufficient statistics (a few hundred numbers, whatever the
-number of documents). Components are then named by the inspected examples below. Documents that are not surely prose under
-the mixture get an exact check of the share of characters in running sentences.
+number of documents), until the likelihood no longer rises. Components are then named by the inspected examples below, and
+a document is what its component is. Only documents the mixture leaves in doubt get an exact check of the share of characters
+in running sentences.
 """
 
 from __future__ import annotations
@@ -175,11 +176,11 @@ class Mixture:
         self.kinds = [kinds[int(v.argmax())] if v.max() > 0.05 else near[k] for k, v in enumerate(votes)]
 
 
-def fit(stats: DataFrame, iterations: int = 12, floor: float = 0.02) -> Mixture | None:
+def fit(stats: DataFrame, gain: float = 1e-3, iterations: int = 100, floor: float = 0.02) -> Mixture | None:
     """The mixture over all rows of ``stats`` with statistics; None where there are none.
 
-    Starts at the inspected examples, so it has no random part. ``floor`` is the least variance of a standardized
-    statistic.
+    Starts at the inspected examples, so it has no random part. Ends when the mean log-likelihood of a document rises by
+    less than ``gain``, after ``iterations`` at the latest. ``floor`` is the least variance of a standardized statistic.
     """
     s = stats.select(*[F.least(F.col(c), F.lit(_SQUEEZE.get(c, 1e18))).alias(c) for c in FEATURES]).where(F.col(FEATURES[0]).isNotNull())
     r = s.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias("m_" + c) for c in FEATURES], *[F.stddev_pop(c).alias("s_" + c) for c in FEATURES]).first()
@@ -193,21 +194,30 @@ def fit(stats: DataFrame, iterations: int = 12, floor: float = 0.02) -> Mixture
         mu.append(_matrix({c: t[:, STATS.index(c)] for c in FEATURES}, centre, scale).mean(0))
     k, d = len(mu), len(FEATURES)
     m = Mixture(centre, scale, np.full(k, 1 / k), np.array(mu), np.ones((k, d)))
+    last = -np.inf
     for _ in range(iterations):
 
         def e_step(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
-            acc = np.zeros((k, 1 + 2 * d))
+            acc = np.zeros((k + 1, 1 + 2 * d))  # the last row holds the log-likelihood
             for b in batches:
                 if b.num_rows:
                     x = _matrix({c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(FEATURES)}, m.centre, m.scale)
-                    g = _responsibilities(x, m.w, m.mu, m.var)
-                    acc += np.concatenate([g.sum(0)[:, None], g.T @ x, g.T @ (x * x)], axis=1)
+                    p = _log_density(x, m.w, m.mu, m.var)
+                    top = p.max(1, keepdims=True)
+                    g = np.exp(p - top)
+                    acc[k, 0] += (top[:, 0] + np.log(g.sum(1))).sum()
+                    g /= g.sum(1, keepdims=True)
+                    acc[:k] += np.concatenate([g.sum(0)[:, None], g.T @ x, g.T @ (x * x)], axis=1)
             i, j = np.indices(acc.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(acc.ravel())], names=["i", "j", "v"])
 
-        acc = np.zeros((k, 1 + 2 * d))
+        acc = np.zeros((k + 1, 1 + 2 * d))
         for i, j, v in s.mapInArrow(e_step, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
             acc[i, j] = v
+        likelihood, acc = acc[k, 0] / r["n"], acc[:k]
+        if likelihood - last < gain:
+            break
+        last = likelihood
         n = np.maximum(acc[:, :1], 1e-9)
         mean = acc[:, 1 : 1 + d] / n
         keep = acc[:, 0] > 1e-3  # a component nothing belongs to stays where it is
@@ -237,10 +247,16 @@ def classify(stats: DataFrame, m: Mixture | None) -> DataFrame:
     return stats.withColumn("_k", of(*[F.col(c) for c in FEATURES])).select("*", "_k.kind", "_k.p_prose").drop("_k")
 
 
-#: Documents with a smaller posterior of prose are checked exactly.
+#: Documents whose posterior of prose lies between 1 - SURE and SURE are in doubt.
 SURE = 0.9999
 
 
+def not_prose(classified: DataFrame) -> DataFrame:
+    """(doc_id): documents whose component isn't prose; in doubt those of which less than half is running sentences."""
+    p = F.col("p_prose")
+    return classified.where((F.col("kind") != "prose") & (p <= 1 - SURE) | (p > 1 - SURE) & (p < SURE) & (F.col("sentence_share") < 0.5)).select("doc_id").distinct()
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     """All statistics and the mixture's verdict for every document."""
     s = cut(stats_table(table(spark, d, "documents", "doc_id", "text")))
@@ -248,9 +264,8 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that are not prose: not surely prose by the mixture, and less than half of the characters in sentences."""
-    x = p10_stats(spark, d)
-    return x.where((F.col("p_prose") < SURE) & (F.col("sentence_share") < 0.5)).select("doc_id").distinct()
+    """Texts that are not prose."""
+    return not_prose(p10_stats(spark, d))
 
 
 QUERIES = {"p10_found": p10_found, "p10_stats": p10_stats}

@@ -8,15 +8,19 @@ A stored string of length n is cut into k + 1 segments of fixed number and place
 bound allows for any partner (partners are at most n / t long). By the pigeonhole principle a partner within the bound
 holds at least one segment unchanged, at most k places off. A segment is stored under (group, length, number, hash).
 A probe enumerates, for each length a partner may have, the substrings that can be a segment of such a string, and looks
-them up; every hit is then verified exactly. After a batch is decided its strings' segments are appended.
+them up; every hit is then verified exactly. ``SegmentIndex`` keeps the segments and token strings of what was accepted in a
+folder; a batch is decided against them and among itself, and what it adds is appended. Texts of history are never read
+again, and repeats of history add nothing to it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.runtime import cut, table
+from riskweave.runtime import cut, drop, shared_folder, table
 
 T = 0.8
 
@@ -109,15 +113,15 @@ def links(history: DataFrame, batch: DataFrame | None = None, t: float = T) -> D
     return v.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("a_ord", "b_ord", "a_ord"), pick("b_ord", "a_ord", "b_ord"))
 
 
-def decide(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def decide(pairs: DataFrame) -> DataFrame:
     """(first, dup): b repeats the earliest linked a that itself repeats nothing.
 
     A string without an earlier link is a first; a string whose linked firsts are known repeats the earliest of them; one
     linked only to repeats is a first itself. The rule is applied in arrival order until nothing is open: each round
     decides every string all of whose earlier partners are decided, so the number of rounds is the longest chain of links,
-    not the number of batches or rows.
+    not the number of batches or rows; each round reads only what is still open.
     """
-    open_, done, n = pairs, None, 0
+    open_, done = pairs, None
     while True:
         left = open_.select("b").distinct()
         # a partner that is no open b is a first
@@ -128,15 +132,14 @@ def decide(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         )
         # the earliest partner is a first: decided, as no earlier one can come
         now = cut(g.where(~F.col("least.undecided")).select(F.col("least.a").alias("first"), F.col("b").alias("dup")))
-        done = now if done is None else done.unionByName(now)
+        done, old = now if done is None else cut(done.unionByName(now)), done
+        drop(old)
         gone = now.select(F.col("dup").alias("x"))
         rest = open_.join(gone, open_["b"] == gone["x"], "left_anti")
-        rest = cut(rest.join(gone, rest["a"] == gone["x"], "left_anti"))
-        n += 1
+        rest, old = cut(rest.join(gone, rest["a"] == gone["x"], "left_anti")), open_
+        drop(old)
         if rest.isEmpty():
             return done
-        if n >= rounds:
-            raise RuntimeError(f"chains of more than {rounds} links")
         open_ = rest
 
 
@@ -154,23 +157,102 @@ def finding_strings(df: DataFrame) -> DataFrame:
     )
 
 
+def _classes(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(strings with their class, one string a class): exact copies are one class, for which its earliest string stands.
+
+    A class is named by two independent 64-bit hashes of group and tokens. Empty strings repeat nothing and are left out.
+    """
+    w = strings.where(F.size("toks") > 0).withColumn("c1", F.xxhash64("grp", "toks")).withColumn("c2", F.xxhash64("toks", F.lit(1), "grp"))
+    reps = w.groupBy("c1", "c2").agg(F.min("ord").alias("ord"), F.first("grp").alias("grp"), F.first("toks").alias("toks"))
+    return w, cut(reps.select("c1", "c2", "grp", F.col("ord.i").alias("id"), "ord", "toks"))
+
+
+def _inherit(w: DataFrame, reps: DataFrame, d: DataFrame) -> DataFrame:
+    """(first_id, dup_id) of all strings from the decisions ``d`` on the classes; a copy inherits its class's first."""
+    of = reps.select("c1", "c2", "id").join(d, F.col("id") == F.col("dup"), "left").select("c1", "c2", F.coalesce("first", "id").alias("first_id"))
+    return w.select("c1", "c2", "id").join(of, ["c1", "c2"]).where("id <> first_id").select("first_id", F.col("id").alias("dup_id")).distinct()
+
+
 def repeats(strings: DataFrame, t: float = T) -> DataFrame:
     """(first_id, dup_id) over all of ``strings``, every batch against what came before it.
 
-    Exact copies are collapsed first: the earliest of each (grp, toks) stands for its class in the index, so a group of
-    copies of any size costs one string. Copies need not be linked to each other; each inherits its class's first.
+    Exact copies are collapsed first, so a group of copies of any size costs one string. Copies need not be linked to each
+    other; each inherits its class's first.
+    """
+    w, reps = _classes(strings)
+    return _inherit(w, reps, decide(cut(links(reps.select("grp", "id", "ord", "toks"), t=t))))
+
+
+class SegmentIndex:
+    """The index of accepted strings in a folder all executors share.
+
+    Each accepted batch is three tables under its number: ``segments`` (key, id, bits) and ``strings`` (grp, id, ord, toks)
+    of its firsts, and ``repeats`` (first_id, dup_id), which is written last. A batch whose adding was cut short is written
+    anew under the same number.
     """
-    w = strings.where(F.size("toks") > 0).withColumn("cls", F.xxhash64("grp", "toks"))
-    reps = w.groupBy("cls").agg(F.min("ord").alias("ord"), F.max("grp").alias("grp"), F.max("toks").alias("toks"))
-    reps = cut(reps.select("cls", "grp", F.col("ord.i").alias("id"), "ord", "toks"))
-    d = decide(cut(links(reps.select("grp", "id", "ord", "toks"), t=t)))
-    of = reps.select("cls", "id").join(d, F.col("id") == F.col("dup"), "left").select("cls", F.coalesce("first", "id").alias("first_id"))
-    return w.select("cls", "id").join(of, "cls").where("id <> first_id").select("first_id", F.col("id").alias("dup_id")).distinct()
+
+    def __init__(self, spark: SparkSession, path: str, t: float = T):
+        self.spark, self.path, self.t = spark, path.rstrip("/"), t
+
+    def batches(self) -> int:
+        """Number of batches accepted so far."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        n = 0
+        while True:
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/repeats/{n}/_SUCCESS")
+            if not p.getFileSystem(conf).exists(p):
+                return n
+            n += 1
+
+    def _read(self, name: str, n: int) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{i}" for i in range(n)])
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """(first_id, dup_id) of ``batch`` (grp, id, ord, toks), whose strings arrive after all that the index holds.
+
+        Only the batch is probed; of the index the segments are read, and the token strings of those that a probe meets.
+        """
+        n = self.batches()
+        w, reps = _classes(batch)
+        rest, known = reps, None
+        if n:
+            p = probes(reps, self.t).withColumnRenamed("id", "b")
+            h = self._read("segments", n).select("key", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+            c = h.join(p, "key").where(F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))) <= F.col("d")).select("a", "b").distinct()
+            old = self._read("strings", n).select(F.col("id").alias("a"), F.col("ord").alias("a_ord"), F.col("toks").alias("a_toks"))
+            v = c.join(old, "a").join(reps.select(F.col("id").alias("b"), "toks"), "b").where(_similar(F.col("a_toks"), F.col("toks"), self.t))
+            known = cut(v.groupBy("b").agg(F.min(F.struct("a_ord", "a")).alias("x")).select(F.col("x.a").alias("first"), F.col("b").alias("dup")))
+            rest = cut(reps.join(known.select(F.col("dup").alias("id")), "id", "left_anti"))
+        d = decide(cut(links(rest.select("grp", "id", "ord", "toks"), t=self.t)))
+        firsts = rest.join(d.select(F.col("dup").alias("id")), "id", "left_anti")
+        segments(firsts, self.t).write.mode("overwrite").parquet(f"{self.path}/segments/{n}")
+        firsts.select("grp", "id", "ord", "toks").write.mode("overwrite").parquet(f"{self.path}/strings/{n}")
+        _inherit(w, reps, d if known is None else d.unionByName(known)).write.mode("overwrite").parquet(f"{self.path}/repeats/{n}")
+        return self.spark.read.parquet(f"{self.path}/repeats/{n}")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats(finding_strings(table(spark, d, "findings", "finding_id", "batch_no", "repo", "rule_id", "evidence")))
 
 
-QUERIES = {"p5_found": p5_found}
-ORACLE = {}
+def p5_last_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The repeats in the last batch, against an index of all batches before it."""
+    s = cut(finding_strings(table(spark, d, "findings", "finding_id", "batch_no", "repo", "rule_id", "evidence")))
+    last = s.agg(F.max("ord.b")).first()[0]
+    index = SegmentIndex(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    index.add(s.where(F.col("ord.b") < F.lit(last)))
+    return index.add(s.where(F.col("ord.b") == F.lit(last)))
+
+
+QUERIES = {"p5_found": p5_found, "p5_last_batch": p5_last_batch}
+# a class without earlier links is a first; one linked to such firsts repeats the earliest of them
+ORACLE = {
+    "p5_found": r"""with f as (select distinct finding_id as id, coalesce(batch_no, 2147483647) as b, coalesce(repo, chr(1)) || chr(2) || coalesce(rule_id, chr(1)) as grp,
+  list_sort(list_distinct(list_filter(regexp_split_to_array(lower(evidence), '[^\p{L}\p{N}\p{M}_]+'), lambda x: x <> ''))) as toks from findings where finding_id is not null),
+ c as (select grp, toks, min(row(b, id)) as o from f where len(toks) > 0 group by 1, 2),
+ l as (select x.o as a, y.o as b from c x join c y on x.grp = y.grp and x.o < y.o and len(x.toks) >= 0.8 * len(y.toks) and len(y.toks) >= 0.8 * len(x.toks)
+  where 1.8 * len(list_intersect(x.toks, y.toks)) >= 0.8 * (len(x.toks) + len(y.toks)) - 1e-9),
+ d as (select b, min(a) as a from l where a not in (select b from l) group by 1),
+ r as (select c.grp, c.toks, coalesce(d.a, c.o) as first from c left join d on c.o = d.b)
+select distinct r.first[2] as first_id, f.id as dup_id from f join r using (grp, toks) where r.first[2] <> f.id""",
+}

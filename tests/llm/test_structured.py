@@ -109,3 +109,39 @@ def test_mixing(spark):
     assert abs(big - 400 * p["big"]["copies"]) <= 1 and max(r["copies"] for r in c if r["source"] == "big") <= 2
     again = mixing.systematic(mixing.sized(d.repartition(7)), mixing.plan(s, t)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, c))
+
+
+def test_index_in_batches_equals_all_at_once(spark, tmp_path):
+    """Chains across batches, added batch by batch; texts of history are gone, and a batch cut short is written anew."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    rows, t = [], rnd.sample(words, 20)
+    for i in range(120):
+        t = list(t)
+        t[rnd.randrange(len(t))] = rnd.choice(words)  # drifts, so that chains are long
+        rows.append((i, i // 30, "r", "u", " ".join(t)))
+    rows += [(500, 2, "r", "u", rows[3][4]), (501, 3, "r", "u", None), (502, 3, "r", "v", rows[3][4])]
+    schema = "finding_id int, batch_no int, repo string, rule_id string, evidence string"
+    index = si.SegmentIndex(spark, str(tmp_path / "index"))
+    got = set()
+    for b in range(4):
+        if b == 2:  # a run that ended before its last table
+            si.segments(si.finding_strings(spark.createDataFrame(rows[:3], schema))).write.parquet(str(tmp_path / "index/segments/2"))
+        got |= {tuple(r) for r in index.add(si.finding_strings(spark.createDataFrame([r for r in rows if r[1] == b], schema))).collect()}
+        assert index.batches() == b + 1
+    assert got == _brute(rows)
+    stored = spark.read.parquet(*[str(tmp_path / f"index/strings/{i}") for i in range(4)])
+    assert set(stored.columns) == {"grp", "id", "ord", "toks"} and stored.count() == len(rows) - 1 - len({d for _, d in got})
+    assert index.add(si.finding_strings(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_a_long_chain_is_decided(spark):
+    pairs = spark.createDataFrame([(i, i + 1, i, i + 1) for i in range(104)], "a int, b int, a_ord int, b_ord int")
+    assert {tuple(r) for r in si.decide(pairs).collect()} == {(i, i + 1) for i in range(0, 104, 2)}
+
+
+def test_short_sources_come_from_the_copies(spark, sf):
+    r = {x["source"]: x for x in mixing.p9_report(spark, sf).collect()}
+    want = {k for k, x in r.items() if x["max_repeats"] * x["tokens"] < x["target_share"] * sum(y["tokens"] for y in r.values())}
+    short = {x[0] for x in mixing.p9_found(spark, sf).collect()}
+    assert short and short <= want and all(r[k]["copies_taken"] == r[k]["max_repeats"] * r[k]["docs"] for k in short)

@@ -365,3 +365,14 @@ def test_leak_recall_at_the_bound(spark):
             want.add((i, i))
     got = {tuple(r) for r in leaks.leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()}
     assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_the_mixture_decides_prose(spark, sf):
+    """Documents are told by their component; the sentence share agrees, and decides alone only in doubt."""
+    x = quality.p10_stats(spark, sf).collect()
+    sure = [r for r in x if r["p_prose"] is not None and not 1 - quality.SURE < r["p_prose"] < quality.SURE]
+    assert len(sure) >= 0.99 * len(x)
+    assert sum((r["kind"] != "prose") != (r["sentence_share"] < 0.5) for r in sure) <= 0.01 * len(x)
+    rows = [(1, "list", 0.0, 0.9), (2, "prose", 1.0, 0.1), (3, "prose", 0.6, 0.4), (4, "junk", 0.4, 0.6), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, kind string, p_prose double, sentence_share double")
+    assert sorted(r[0] for r in quality.not_prose(df).collect()) == [1, 3]
