@@ -122,31 +122,35 @@ def _trigrams(t: np.ndarray) -> np.ndarray:
 def _stretch(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, int, int, int, int] | None:
     """Best local alignment of x in y (match 1, any edit -2): (x from, to, y from, to, edits); None below ``least`` words.
 
-    Row by row with one row kept: each cell carries where its alignment began and how many edits it has.
+    Row by row with one row kept: each cell carries in one number where its alignment began and how many edits it has.
     """
     n, m = len(x), len(y)
     if n < least or m < least:
         return None
-    step, place = 2 * np.arange(m + 1, dtype=np.int64), np.arange(m + 1)
-    h, si, sj, e = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), place.copy(), np.zeros(m + 1, np.int64)
+    place = np.arange(m + 1)
+    step = 2 * place
+    fresh = place << 16  # i << 42, j << 16, edits
+    h, tag = np.zeros(m + 1, np.int64), fresh.copy()
+    row, new = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
     best, got = 0, None
     for i in range(1, n + 1):
         same = y == x[i - 1]
-        diag, up = h[:-1] + np.where(same, 1, -2), h[1:] - 2
+        diag, up = h[:-1] + (3 * same - 2), h[1:] - 2
         across = diag >= up
-        row, ri, rj, re_ = np.zeros(m + 1, np.int64), np.full(m + 1, i, np.int64), place.copy(), np.zeros(m + 1, np.int64)
         top = np.where(across, diag, up)
-        live = np.flatnonzero(top > 0)
-        row[live + 1] = top[live]
-        from_ = np.where(across[live], live, live + 1)
-        ri[live + 1], rj[live + 1], re_[live + 1] = si[from_], sj[from_], e[from_] + np.where(across[live], ~same[live], True)
-        run = np.maximum.accumulate(row + step)
-        k = np.maximum.accumulate(np.where(row + step == run, place, 0))  # where the run of insertions began
+        begun = fresh + (i << 42)
+        new[0] = begun[0]
+        new[1:] = np.where(top > 0, np.where(across, tag[:-1] + ~same, tag[1:] + 1), begun[1:])
+        np.maximum(top, 0, out=row[1:])
+        lifted = row + step
+        run = np.maximum.accumulate(lifted)
+        k = np.maximum.accumulate(np.where(lifted == run, place, 0))  # where the run of insertions began
         h = run - step
-        si, sj, e = ri[k], rj[k], re_[k] + (place - k)
+        tag = new[k] + (place - k)
         j = int(h.argmax())
         if h[j] > best:
-            best, got = int(h[j]), (int(si[j]), i, int(sj[j]), j, int(e[j]))
+            best, t = int(h[j]), int(tag[j])
+            got = (t >> 42, i, t >> 16 & (1 << 26) - 1, j, t & 0xFFFF)
     return got if got and got[1] - got[0] >= least else None
 
 
