@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import module_key
-from riskweave.operators.fixpoint import chains, closure
-from riskweave.operators.taint import CAPABILITIES, _chain, _lookup, parameter_summaries, tagged, tool_functions
+from riskweave.operators.fixpoint import chains, reach
+from riskweave.operators.taint import tagged, tool_functions
+from riskweave.runtime import cut
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -54,35 +55,48 @@ def resolved_calls(facts: DataFrame, mods: DataFrame) -> DataFrame:
     """(file_id, n1, line, target, fn): calls of functions of other files, by imported name or as module.function."""
     c = tagged(facts, "call").where("scope = ''").select("file_id", "n1", "line", "s1", "s2").distinct()
     names = resolved_names(facts, mods)
+    names = cut(names)
     a = c.where("s1 = ''").join(names.withColumnRenamed("local", "s2"), ["file_id", "s2"]).select("file_id", "n1", "line", "target", "fn")
     m = import_targets(facts, mods).where("name is null").select("file_id", F.col("local").alias("s1"), "target")
     defs = tagged(facts, "func").select(F.col("file_id").alias("target"), F.col("s1").alias("fn")).distinct()
     b = c.where("s1 <> ''").join(m, ["file_id", "s1"]).withColumnRenamed("s2", "fn").join(defs, ["target", "fn"]).select("file_id", "n1", "line", "target", "fn")
-    return a.unionByName(b).distinct()
+    return cut(a.unionByName(b).distinct())
 
 
-def cross_module_sinks(facts: DataFrame, mods: DataFrame, taint: DataFrame) -> DataFrame:
+def _handed_over(facts: DataFrame, calls: DataFrame, mark: str) -> DataFrame:
+    """(file_id, line, kind): arguments with ``mark`` that meet a summarized parameter of another file."""
+    s = tagged(facts, "summary").select(F.col("file_id").alias("target"), F.col("s1").alias("fn"), F.col("n2").alias("pos"), F.col("s2").alias("param"), F.col("s3").alias("kind"))
+    a = tagged(facts, "arg").where(mark).select("file_id", "n1", "n2", F.col("s1").alias("kw"))
+    j = calls.join(s, ["target", "fn"]).join(a, ["file_id", "n1"]).where("kw = param or (kw is null and n2 = pos)")
+    return j.groupBy("file_id", "line").agg(F.min(F.when(F.col("kind") != "prompt", F.col("kind"))).alias("kind"), F.max((F.col("kind") == "prompt")).alias("prompt"))
+
+
+def cross_module_sinks(facts: DataFrame, mods: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """(file_id, line, kind): model output handed to a function of another file whose parameter reaches a sink."""
-    s = parameter_summaries(facts).select(F.col("file_id").alias("target"), "fn", "pos", "param", "kind")
-    a = tagged(facts, "arg").select("file_id", "n1", "n2", F.col("s1").alias("kw"), "refs", "b1")
-    j = resolved_calls(facts, mods).join(s, ["target", "fn"]).join(a, ["file_id", "n1"]).where("n2 = pos or kw = param")
-    t = taint.where("scope = ''").select("file_id", F.col("node").alias("_n"))
-    via = j.select("file_id", "line", "kind", F.explode("refs").alias("_n")).join(t, ["file_id", "_n"]).select("file_id", "line", "kind")
-    return j.where("b1").select("file_id", "line", "kind").unionByName(via).groupBy("file_id", "line").agg(F.min("kind").alias("kind"))
+    return _handed_over(facts, resolved_calls(facts, mods) if calls is None else calls, "b2").where("kind is not null").select("file_id", "line", "kind")
+
+
+def cross_module_prompts(facts: DataFrame, mods: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(file_id, line): untrusted input handed to a function of another file whose parameter becomes a system prompt."""
+    return _handed_over(facts, resolved_calls(facts, mods) if calls is None else calls, "b3").where("prompt").select("file_id", "line")
 
 
-def cross_module_tools(facts: DataFrame, mods: DataFrame) -> DataFrame:
-    """(file_id, tool, target, capability): capabilities of other files that a tool reaches over calls between files."""
+def cross_module_tools(facts: DataFrame, mods: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(file_id, tool, line, asks, target, capability): capabilities of other files that a tool reaches over calls between
+    files; ``line`` is the tool's own. Only what tools reach is followed."""
     f = tagged(facts, "func").select("file_id", "scope", F.col("s1").alias("fn"))
     node = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("|"), F.col(b))
     inner = tagged(facts, "call").where("scope <> ''").join(f, ["file_id", "scope"]).select("file_id", "n1", "fn", "s1", "s2").distinct()
     names = f.select("file_id", F.col("fn").alias("s2")).distinct()
     local = inner.where("s1 = ''").join(names, ["file_id", "s2"]).select(node("file_id", "fn").alias("src"), node("file_id", "s2").alias("dst"))
-    far = inner.select("file_id", "n1", F.col("fn").alias("caller")).join(resolved_calls(facts, mods), ["file_id", "n1"]).select(node("file_id", "caller").alias("src"), node("target", "fn").alias("dst"))
-    r = closure(local.unionByName(far), [])
-    cap = inner.withColumn("capability", _lookup(CAPABILITIES, _chain())).where("capability is not null").select(node("file_id", "fn").alias("node"), F.col("file_id").alias("target"), "capability").distinct()
-    tools = tool_functions(facts).select("file_id", F.col("fn").alias("tool"), node("file_id", "fn").alias("start"))
-    return tools.join(r, "start").join(cap, "node").where("target <> file_id").select("file_id", "tool", "target", "capability").distinct()
+    calls = resolved_calls(facts, mods) if calls is None else calls
+    far = inner.select("file_id", "n1", F.col("fn").alias("caller")).join(calls, ["file_id", "n1"]).select(node("file_id", "caller").alias("src"), node("target", "fn").alias("dst"))
+    tools = tool_functions(facts).select("file_id", F.col("fn").alias("tool"), "asks", node("file_id", "fn").alias("start"))
+    r = reach(local.unionByName(far), tools.select("start", F.col("start").alias("node")), ["start"], by_key=False)
+    cap = tagged(facts, "sink").select(node("file_id", "s1").alias("node"), F.col("file_id").alias("target"), F.col("s2").alias("capability")).distinct()
+    at = tagged(facts, "func").groupBy("file_id", F.col("s1").alias("tool")).agg(F.min("line").alias("line"))
+    x = tools.join(r, "start").join(cap, "node").where("target <> file_id").join(at, ["file_id", "tool"])
+    return x.select("file_id", "tool", "line", "asks", "target", "capability").distinct()
 
 
 def unambiguous(names: DataFrame, by: list[str], name: str, owner: str) -> DataFrame:

@@ -8,8 +8,10 @@ func     scope (own name path), s1 name, refs parameters, b1 exposed as a tool b
 name     s1 name, s2 kind: param, store or loop
 assign   s1 target, refs names read, b1 model call in it, b2 sanitizer on top, b3 request data or input() in it
 call     n1 number, s1 object, s2 method, s3 receiver, refs names in arguments, refs2 names in the first one, kw keywords,
-         b1 model call, b2 model call among the arguments, b3 model call in the first
-arg      n1 call, s1 keyword or null, n2 position, refs names read, b1 model call in it
+         b1 model call, b2 model call among the arguments, b3 model call in the first; kw also holds ``shell=True``
+         and, for a file opened to be written, ``mode=write``
+arg      n1 call, s1 keyword or null, n2 position, refs names read, b1 model call in it, b2 model output in it, b3 untrusted
+         input in it
 return   refs names read, b1 model call in it
 loop     endless loop: b1 model call in it, b2 a way out
 dict     message with role: s1 role, refs names read in its content, b3 request data in it
@@ -17,6 +19,8 @@ import   n1 level, s1 module, s2 name or null, s3 local name
 tool     s1 name of a function handed over as a tool
 text     b1 hardening language among the scope's strings
 error    the file doesn't parse
+
+``dataflow.solve`` adds what follows from them within the file.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.operators.dataflow import solve
 from riskweave.runtime import spread
 
 # Names and patterns by which calls, names and texts are told apart.
 TOOL_DECORATORS = {"tool", "function_tool", "beta_tool", "beta_async_tool", "ai_function"}
 TOOL_KEYS = {"fn", "func", "function", "handler", "coroutine"}
+TOOL_NAMES = {"name", "tool", "function"}
 CONFIRM = {"confirm", "approval", "approve", "require_approval", "human_in_the_loop", "allowlist", "whitelist", "requires_confirmation"}
 MODEL_CALLS = {"create", "generate", "complete", "acreate", "acomplete", "agenerate", "chat", "invoke", "ainvoke", "predict", "apredict", "stream", "astream", "generate_content"}
 GATED_CALLS = {"run", "arun", "query", "aquery", "call", "acall", "send_message", "ask", "respond"}
@@ -83,11 +89,22 @@ def _request_in(*nodes: ast.AST | None) -> bool:
     def test(x: ast.AST) -> bool:
         if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == "input":
             return True
-        return isinstance(x, (ast.Attribute, ast.Subscript)) and isinstance(x.value, ast.Name) and x.value.id in REQUEST_ROOTS
+        return isinstance(x, ast.Name) and x.id in REQUEST_ROOTS
 
     return _any(test, *nodes)
 
 
+def _text(n: ast.AST | None) -> str:
+    """The value of a string constant, else nothing."""
+    return n.value if isinstance(n, ast.Constant) and isinstance(n.value, str) else ""
+
+
+def _flags(c: ast.Call) -> list[str]:
+    shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in c.keywords)
+    write = isinstance(c.func, ast.Name) and c.func.id == "open" and len(c.args) > 1 and set(_text(c.args[1])) & {"w", "a"}
+    return ["shell=True"] * shell + ["mode=write"] * bool(write)
+
+
 def _targets(t: ast.AST) -> list[str]:
     """Names bound by an assignment target; attributes and subscripts bind none."""
     if isinstance(t, ast.Name):
@@ -121,7 +138,8 @@ def facts_of(text: str | None) -> list[tuple]:
             a = node.args
             params = [x.arg for x in a.args]
             every = [x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]]
-            tool = any(_last(d.func if isinstance(d, ast.Call) else d) in TOOL_DECORATORS for d in node.decorator_list)
+            decorators = [_last(d.func if isinstance(d, ast.Call) else d).lower() for d in node.decorator_list]
+            tool = any(d in TOOL_DECORATORS or "tool" in d for d in decorators)
             asks = _any(lambda x: isinstance(x, (ast.Name, ast.Attribute)) and any(w in _last(x).lower() for w in CONFIRM), *node.body)
             emit([path], "func", node.lineno, node.end_lineno or 0, s1=node.name, refs=params, b1=tool, b2=asks)
             for p in every:
@@ -139,14 +157,17 @@ def facts_of(text: str | None) -> list[tuple]:
             obj, meth = _pair(node.func)
             values = [*node.args, *[k.value for k in node.keywords]]
             first = node.args[0] if node.args else None
-            emit(scopes, "call", node.lineno, node.end_lineno or 0, n1=calls, s1=obj, s2=meth, s3=_last(node.func.value) if isinstance(node.func, ast.Attribute) else "", refs=_refs(*values), refs2=_refs(first), kw=[k.arg for k in node.keywords if k.arg], b1=_is_model_call(node), b2=_model_in(*values), b3=_model_in(first))
+            emit(scopes, "call", node.lineno, node.end_lineno or 0, n1=calls, s1=obj, s2=meth, s3=_last(node.func.value) if isinstance(node.func, ast.Attribute) else "", refs=_refs(*values), refs2=_refs(first), kw=[*[k.arg for k in node.keywords if k.arg], *_flags(node)], b1=_is_model_call(node), b2=_model_in(*values), b3=_model_in(first))
             for i, v in enumerate(node.args):
                 emit(scopes[-1:], "arg", node.lineno, n1=calls, n2=i, refs=_refs(v), b1=_model_in(v))
             for k in node.keywords:
                 if k.arg:
                     emit(scopes[-1:], "arg", node.lineno, n1=calls, s1=k.arg, refs=_refs(k.value), b1=_model_in(k.value))
-                    if k.arg in TOOL_KEYS and isinstance(k.value, ast.Name) and (meth.endswith("Tool") or meth in TOOL_DECORATORS):
-                        emit([""], "tool", node.lineno, s1=k.value.id)
+                    if meth.lower().endswith("tool") or meth in TOOL_DECORATORS:
+                        if k.arg in TOOL_KEYS and isinstance(k.value, ast.Name):
+                            emit([""], "tool", node.lineno, s1=k.value.id)
+                        elif k.arg == "name" and (name := _text(k.value)):
+                            emit([""], "tool", node.lineno, s1=name)
         elif isinstance(node, ast.Return) and node.value is not None:
             emit(scopes, "return", node.lineno, refs=_refs(node.value), b1=_model_in(node.value))
         elif isinstance(node, ast.While) and isinstance(node.test, ast.Constant) and bool(node.test.value):
@@ -157,10 +178,13 @@ def facts_of(text: str | None) -> list[tuple]:
             role = keys.get("role")
             if isinstance(role, ast.Constant) and isinstance(role.value, str) and "content" in keys:
                 emit(scopes, "dict", keys["content"].lineno, s1=role.value.lower(), refs=_refs(keys["content"]), b3=_request_in(keys["content"]))
-            if {"name", "tool", "function"} & keys.keys():
+            if TOOL_KEYS & keys.keys() or _text(keys.get("type")) in ("function", "tool"):
                 for k in TOOL_KEYS & keys.keys():
                     if isinstance(keys[k], ast.Name):
                         emit([""], "tool", node.lineno, s1=keys[k].id)
+                for k in TOOL_NAMES & keys.keys():
+                    if name := _text(keys[k]):
+                        emit([""], "tool", node.lineno, s1=name)
         elif isinstance(node, ast.Import):
             for x in node.names:
                 emit([""], "import", node.lineno, n1=0, s1=x.name, s3=x.asname or x.name.split(".")[0])
@@ -183,14 +207,16 @@ def facts_of(text: str | None) -> list[tuple]:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """The fact table of the Python files of ``files`` (file_id, suffix, text); other files are left out."""
-    x = files.where((F.lower("suffix") == ".py") & F.col("text").isNotNull()).select("file_id", "text")
+    """The fact table of the Python files of ``files`` (file_id, suffix, text, and path if there is one); other files are
+    left out."""
+    path = F.coalesce("path", F.lit("")) if "path" in files.columns else F.lit("")
+    x = files.where((F.lower("suffix") == ".py") & F.col("text").isNotNull()).select("file_id", "text", path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                got = facts_of(t)
+            for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                got = solve(facts_of(t), t, p)
                 rows += got
                 ids += [i] * len(got)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)

@@ -1,4 +1,4 @@
-"""Fix-points over edges: semi-naive reachability, re-export chains, backward slices."""
+"""Fix-points over edges: semi-naive reachability and re-export chains."""
 
 from __future__ import annotations
 
@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from riskweave.runtime import cut, drop
 
 
-def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], node: str = "node", most: int = 10_000) -> DataFrame:
-    """All (keys, node) that ``seeds`` (keys, node) reach over ``edges`` (keys, src, dst), seeds included.
+def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], node: str = "node", most: int = 10_000, by_key: bool = True) -> DataFrame:
+    """All (keys, node) that ``seeds`` (keys, node) reach over ``edges`` (keys, src, dst), seeds included; without ``by_key``
+    the edges are (src, dst), the same for all keys.
 
     Semi-naive: only nodes new in the last round are joined. Ends on cyclic graphs, as known nodes are taken off before
     each round; the number of rounds is the longest shortest path. Null nodes never match.
     """
-    e = cut(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct())
+    on = [*keys, "src"] if by_key else ["src"]
+    e = cut(edges.select(*on, "dst").where("src is not null and dst is not null").distinct())
     known = cut(seeds.select(*keys, node).distinct())
     delta = known
     for _ in range(most):
-        step = delta.withColumnRenamed(node, "src").join(e, [*keys, "src"]).select(*keys, F.col("dst").alias(node)).distinct()
+        step = delta.withColumnRenamed(node, "src").join(e, on).select(*keys, F.col("dst").alias(node)).distinct()
         delta = cut(step.join(known, [*keys, node], "left_anti"))
         if delta.isEmpty():
             drop(delta)

@@ -1,150 +1,15 @@
-"""Taint checks over Python facts: model output into sinks, untrusted input into prompts, tools that reach capabilities."""
+"""Findings of the syntax rules: what is found within files, and what crosses them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.fixpoint import closure, reach
-from riskweave.runtime import cut
-
-# Name patterns and capabilities.
-OUTPUT_NAME = r"(?i)(completion|response|\banswer|reply|generated|assistant|\boutput(?!_?(?:path|file|dir|folder|name|filename|wav|mp3|pcm|png|jpe?g|gif|csv|json|ya?ml|txt|md|html|pdf|url|uri|dst|dest|target|size|len|count|format|ext|buffer|stream|bytes|fd|handle|loc|location))|\bresp\b|choices)"
-USER_NAME = r"(?i)(\buser|\binput\b|query|question|\bmessage\b|request|\breq\b|\bprompt\b|\bmsg\b|payload|\bbody\b|user_input|user_query|user_message|user_content)"
-SYSTEM_NAME = r"(?i)(system_prompt|system_message|system_instruction|sys_prompt|systemprompt|sys_msg)"
-DB_RECEIVER = r"(?i)(cursor|conn|connection|\bdb\b|database|session|\bcur\b|sql|engine)"
-USERFACING = r"(?i)(route|endpoint|handler|\bapi\b|\bchat\b|\bask\b|answer|respond|reply|generate_response|\bquery\b|complete_)"
-GROUNDING = r"(?i)(citation|\bcite\b|\bsource|verif|validat|ground|retriev|\brag\b|disclaimer|confidence|fact.?check|reference|guardrail|moderat)"
-HIGH_STAKES = r"(?i)(medical|health|diagnos|clinical|patient|symptom|treatment|medication|dosage|prescription|therap|legal|lawyer|attorney|litigation|contract|financial|invest|\btax\b|loan|mortgage|trading|securit)"
-SHELL_CALLS = ["os.system", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output"]
-CAPABILITIES = {
-    **dict.fromkeys(SHELL_CALLS, "shell/command execution"),
-    **dict.fromkeys(["os.remove", "os.unlink", "shutil.rmtree"], "arbitrary file delete"),
-    **dict.fromkeys(["requests.get", "requests.post", "requests.put", "requests.delete"], "arbitrary outbound HTTP"),
-    **dict.fromkeys([".eval", ".exec"], "code execution"),
-}
-LOG_METHODS = ["debug", "info", "warning", "warn", "error", "exception", "critical", "log", "write"]
-LOG_OBJECTS = ["logging", "logger", "log", "console", "sys"]
-CAP_KEYS = ["max_tokens", "max_output_tokens", "maxtokens", "max_completion_tokens"]
-
-_chain = lambda: F.concat_ws(".", "s1", "s2")
-
 
 def tagged(facts: DataFrame, tag: str) -> DataFrame:
     return facts.where(F.col("tag") == tag)
 
 
-def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
-
-
-def _edges(assigns: DataFrame, sanitize: bool) -> DataFrame:
-    a = assigns.where("not b2") if sanitize else assigns
-    return a.select("file_id", "scope", F.explode("refs").alias("src"), F.col("s1").alias("dst"))
-
-
-def propagate(facts: DataFrame, seeds: DataFrame, model: bool, sanitize: bool = True) -> DataFrame:
-    """(file_id, scope, node): tainted names: ``seeds``, targets of model calls when ``model``, and whatever is assigned from
-    them; a sanitizer on top of the assigned expression clears it."""
-    a = tagged(facts, "assign")
-    s = seeds
-    if model:
-        s = s.unionByName(a.where("b1 and not b2").select("file_id", "scope", F.col("s1").alias("node")))
-    return reach(_edges(a, sanitize), s, ["file_id", "scope"])
-
-
-def _seed(facts: DataFrame, pattern: str, kinds: tuple[str, ...] = ("param", "store")) -> DataFrame:
-    return tagged(facts, "name").where(F.col("s2").isin(*kinds) & F.col("s1").rlike(pattern)).select("file_id", "scope", F.col("s1").alias("node"))
-
-
-def output_taint(facts: DataFrame) -> DataFrame:
-    """Names that hold model output, by scope."""
-    return propagate(facts, _seed(facts, OUTPUT_NAME), model=True)
-
-
-def untrusted_taint(facts: DataFrame) -> DataFrame:
-    """Names that hold user input, by scope; loop variables are no seeds."""
-    loops = tagged(facts, "name").where("s2 = 'loop'").select("file_id", "scope", F.col("s1").alias("node")).distinct()
-    seeds = _seed(facts, USER_NAME).join(loops, ["file_id", "scope", "node"], "left_anti")
-    req = tagged(facts, "assign").where("b3 and not b2").select("file_id", "scope", F.col("s1").alias("node"))
-    return propagate(facts, seeds.unionByName(req), model=False)
-
-
-def sink_kind() -> Column:
-    """What a call does with model output; null for other calls."""
-    sql = F.col("s2").isin("executescript", "raw") | (F.col("s2").isin("execute", "executemany") & F.col("s3").rlike(DB_RECEIVER))
-    return (
-        F.when((F.col("s1") == "") & F.col("s2").isin("eval", "exec"), "code execution (eval/exec)")
-        .when(_chain().isin(*SHELL_CALLS), "shell execution")
-        .when(sql, "SQL execution")
-        .when(F.col("s2").isin("render_template_string", "Template"), "template rendering")
-    )
-
-
-def _uses(calls: DataFrame, taint: DataFrame, refs: str = "refs") -> DataFrame:
-    """Calls with a tainted name among ``refs``."""
-    t = taint.withColumnRenamed("node", "_n")
-    hit = calls.select("file_id", "scope", "n1", F.explode(refs).alias("_n")).join(t, ["file_id", "scope", "_n"]).select("file_id", "scope", "n1").distinct()
-    return calls.join(hit, ["file_id", "scope", "n1"], "left_semi")
-
-
-def output_sinks(facts: DataFrame, taint: DataFrame | None = None) -> DataFrame:
-    """(file_id, line, kind): sinks fed by model output within a file; of SQL only the first argument counts."""
-    t = output_taint(facts) if taint is None else taint
-    c = tagged(facts, "call").where("scope = ''").withColumn("kind", sink_kind()).where("kind is not null")
-    sql = F.col("kind") == "SQL execution"
-    hit = _uses(c.where(~sql), t).unionByName(_uses(c.where(sql), t, "refs2")).unionByName(c.where((~sql & F.col("b2")) | (sql & F.col("b3"))))
-    return hit.groupBy("file_id", "line").agg(F.min("kind").alias("kind"))
-
-
-def parameter_summaries(facts: DataFrame) -> DataFrame:
-    """(file_id, scope, fn, pos, param, kind): parameters that reach a sink of their function.
-
-    All parameters are seeds at once: the fix-point carries the parameter as a further key, so there is no loop over them.
-    """
-    f = tagged(facts, "func").select("file_id", "scope", F.col("s1").alias("fn"), F.posexplode("refs").alias("pos", "param"))
-    c = tagged(facts, "call").where("scope <> ''").withColumn("kind", sink_kind()).where("kind is not null")
-    f = cut(f.join(c.select("file_id", "scope").distinct(), ["file_id", "scope"], "left_semi"))  # functions with a sink only
-    a = _edges(tagged(facts, "assign"), True).join(f.select("file_id", "scope", "param"), ["file_id", "scope"])
-    t = reach(a, f.select("file_id", "scope", "param", F.col("param").alias("node")), ["file_id", "scope", "param"])
-    used = F.when(F.col("kind") == "SQL execution", F.col("refs2")).otherwise(F.col("refs"))
-    u = c.select("file_id", "scope", "kind", F.explode(used).alias("node")).join(t, ["file_id", "scope", "node"])
-    return f.join(u.groupBy("file_id", "scope", "param").agg(F.min("kind").alias("kind")), ["file_id", "scope", "param"])
-
-
-def interprocedural_sinks(facts: DataFrame, taint: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """(file_id, line, kind): calls that hand model output to a parameter which reaches a sink, within a file.
-
-    Arguments meet parameters by position or by keyword.
-    """
-    s = parameter_summaries(facts) if summaries is None else summaries
-    calls = tagged(facts, "call").where("scope = ''").select("file_id", "n1", "line", F.col("s2").alias("fn")).distinct()
-    a = tagged(facts, "arg").select("file_id", "n1", "n2", F.col("s1").alias("kw"), "refs", "b1")
-    j = calls.join(a, ["file_id", "n1"]).join(s.select("file_id", "fn", "pos", "param", "kind"), ["file_id", "fn"]).where("n2 = pos or kw = param")
-    direct = j.where("b1").select("file_id", "line", "kind")
-    t = taint.where("scope = ''").select("file_id", F.col("node").alias("_n"))
-    via = j.select("file_id", "line", "kind", F.explode("refs").alias("_n")).join(t, ["file_id", "_n"]).select("file_id", "line", "kind")
-    return direct.unionByName(via).groupBy("file_id", "line").agg(F.min("kind").alias("kind"))
-
-
-def injection_sinks(facts: DataFrame) -> DataFrame:
-    """(file_id, line): user input that becomes a system prompt, in functions without hardening language."""
-    t = untrusted_taint(facts).withColumnRenamed("node", "_n")
-    soft = tagged(facts, "text").where("not b1").select("file_id", "scope")
-    a = tagged(facts, "assign").where(F.col("s1").rlike(SYSTEM_NAME) & ~F.col("b2"))
-    d = tagged(facts, "dict").where("s1 = 'system'")
-    cand = a.select("file_id", "scope", "line", "refs", "b3").unionByName(d.select("file_id", "scope", "line", "refs", "b3")).join(soft, ["file_id", "scope"], "left_semi")
-    via = cand.select("file_id", "scope", "line", F.explode("refs").alias("_n")).join(t, ["file_id", "scope", "_n"]).select("file_id", "line")
-    return via.unionByName(cand.where("b3").select("file_id", "line")).distinct()
-
-
-def prompt_leaks(facts: DataFrame) -> DataFrame:
-    """(file_id, line): a system prompt that is logged or printed."""
-    t = propagate(facts, _seed(facts, SYSTEM_NAME), model=False, sanitize=False)
-    log = ((F.col("s1") == "") & (F.col("s2") == "print")) | ((F.col("s1") != "") & (F.col("s2").isin(*LOG_METHODS) | F.col("s1").isin(*LOG_OBJECTS)))
-    return _uses(tagged(facts, "call").where(log), t).select("file_id", "line").distinct()
-
-
 def tool_functions(facts: DataFrame) -> DataFrame:
     """(file_id, fn, asks): functions exposed to a model by decorator, tool literal or tool constructor."""
     f = tagged(facts, "func").select("file_id", F.col("s1").alias("fn"), F.col("b2").alias("asks"), F.col("b1").alias("deco"))
@@ -152,67 +17,28 @@ def tool_functions(facts: DataFrame) -> DataFrame:
     return f.where("deco").unionByName(f.join(named, ["file_id", "fn"], "left_semi")).groupBy("file_id", "fn").agg(F.max("asks").alias("asks"))
 
 
-def reachable_tool_sinks(facts: DataFrame) -> DataFrame:
-    """(file_id, tool, line, capability, asks): capabilities that a tool function reaches over any number of local calls.
+def file_findings(facts: DataFrame) -> DataFrame:
+    """(file_id, rule_id, line, severity, detail, trace): the findings within files, with their way from source to sink."""
+    step = F.transform("refs", lambda x: F.struct(F.split(x, r"\|", 3)[0].cast("int").alias("line"), F.split(x, r"\|", 3)[1].alias("role"), F.split(x, r"\|", 3)[2].alias("snippet")))
+    return tagged(facts, "finding").select("file_id", F.col("s1").alias("rule_id"), "line", F.col("s3").alias("severity"), F.col("s2").alias("detail"), step.alias("trace"))
 
-    Where several tools share a sink, the first name stands for it.
-    """
-    f = tagged(facts, "func").select("file_id", "scope", F.col("s1").alias("fn"))
-    calls = tagged(facts, "call").where("scope <> ''").join(f, ["file_id", "scope"])
-    names = f.select("file_id", F.col("fn").alias("s2")).distinct()
-    edges = calls.join(names, ["file_id", "s2"]).select("file_id", F.col("fn").alias("src"), F.col("s2").alias("dst"))
-    tools = tool_functions(facts)
-    r = closure(edges, ["file_id"]).withColumnRenamed("start", "fn")
-    r = r.unionByName(tools.select("file_id", "fn", F.col("fn").alias("node")))
-    cap = calls.withColumn("capability", _lookup(CAPABILITIES, _chain())).where("capability is not null").select("file_id", F.col("fn").alias("node"), "line", "capability")
-    x = tools.join(r, ["file_id", "fn"]).join(cap, ["file_id", "node"]).distinct()
-    return x.groupBy("file_id", "line", "capability").agg(F.min("fn").alias("tool"), F.min("asks").alias("asks"))
-
-
-def uncapped_calls(facts: DataFrame) -> DataFrame:
-    """(file_id, line, explicit): completion calls without a cap on the generated length."""
-    explicit = _chain().isin("completions.create", "messages.create", "responses.create")
-    bare = F.col("s2").isin("generate", "acreate", "complete") & (F.col("s1") != "")
-    c = tagged(facts, "call").where("scope = ''").where((explicit | bare) & ~F.arrays_overlap(F.transform("kw", F.lower), F.array(*map(F.lit, CAP_KEYS))))
-    return c.groupBy("file_id", "line").agg(F.max(explicit).alias("explicit"))
-
-
-def endless_loops(facts: DataFrame) -> DataFrame:
-    """(file_id, line): loops without a way out that call a model."""
-    return tagged(facts, "loop").where("b1 and not b2").select("file_id", "line").distinct()
 
+def python_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file_id, rule_id, line, severity, detail, trace) of all syntax rules on Python files, across files of a repo as well.
 
-def ungrounded_returns(facts: DataFrame, files: DataFrame, taint: DataFrame) -> DataFrame:
-    """(file_id, line): model output returned from a user-facing function of a high-stakes file without grounding words.
-
-    The grounding check reads the function's own lines, cut at ``#``: a slice of the file's lines, no join on lines.
+    A line that a rule already found within its file isn't found again across files. ``files`` has file_id, repo, path and
+    suffix.
     """
-    t = taint.where("scope <> ''").withColumnRenamed("node", "_n")
-    r = tagged(facts, "return").where("scope <> ''")
-    hit = r.where("b1").select("file_id", "scope", "line").unionByName(r.select("file_id", "scope", "line", F.explode("refs").alias("_n")).join(t, ["file_id", "scope", "_n"]).select("file_id", "scope", "line")).distinct()
-    fn = tagged(facts, "func").where(F.col("s1").rlike(USERFACING)).select("file_id", "scope", F.col("line").alias("a"), F.col("end").alias("b"))
-    high = files.where(F.col("text").rlike(HIGH_STAKES) | F.col("path").rlike(HIGH_STAKES)).select("file_id", F.split("text", "\n").alias("ls"))
-    x = hit.join(fn, ["file_id", "scope"]).join(high, "file_id")
-    src = F.array_join(F.transform(F.slice("ls", F.col("a"), F.col("b") - F.col("a") + 1), lambda s: F.substring_index(s, "#", 1)), "\n")
-    return x.where(~src.rlike(GROUNDING)).select("file_id", "line").distinct()
-
-
-def python_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """(file_id, rule_id, line, severity, detail) of all syntax rules on Python files; one row a file, rule and line."""
-    taint = cut(output_taint(facts))
-    out = output_sinks(facts, taint).unionByName(interprocedural_sinks(facts, taint)).groupBy("file_id", "line").agg(F.min("kind").alias("detail"))
-    row = lambda df, rule, sev, detail: df.select("file_id", F.lit(rule).alias("rule_id"), "line", (F.lit(sev) if isinstance(sev, str) else sev).alias("severity"), detail.alias("detail"))
-    none = F.lit("")
-    parts = [
-        row(out, "ORTHO-OUTPUT-001", "HIGH", F.col("detail")),
-        row(injection_sinks(facts), "ORTHO-PI-001", "HIGH", none),
-        row(prompt_leaks(facts), "ORTHO-PROMPTLEAK-001", "MEDIUM", none),
-        row(reachable_tool_sinks(facts), "ORTHO-AGENCY-001", F.when(F.col("asks"), "MEDIUM").otherwise("CRITICAL"), F.col("capability")),
-        row(uncapped_calls(facts), "ORTHO-CONSUME-001", F.when(F.col("explicit"), "MEDIUM").otherwise("LOW"), none),
-        row(endless_loops(facts), "ORTHO-CONSUME-002", "MEDIUM", none),
-        row(ungrounded_returns(facts, files, taint), "ORTHO-MISINFO-001", "INFO", none),
-    ]
-    x = parts[0]
-    for p in parts[1:]:
-        x = x.unionByName(p)
-    return x
+    from riskweave.operators import crossmodule as cm
+
+    own = file_findings(facts)
+    mods = cm.modules(files)
+    calls = cm.resolved_calls(facts, mods)
+    none = F.array().cast("array<struct<line:int,role:string,snippet:string>>")
+    row = lambda df, rule, sev, detail: df.select("file_id", F.lit(rule).alias("rule_id"), "line", sev.alias("severity"), detail.alias("detail"), none.alias("trace"))
+    high = F.lit("HIGH")
+    far = row(cm.cross_module_sinks(facts, mods, calls), "ORTHO-OUTPUT-001", high, F.col("kind"))
+    far = far.unionByName(row(cm.cross_module_prompts(facts, mods, calls), "ORTHO-PI-001", high, F.lit("")))
+    t = cm.cross_module_tools(facts, mods, calls)
+    far = far.unionByName(row(t, "ORTHO-AGENCY-001", F.when(F.col("asks"), "MEDIUM").otherwise("CRITICAL"), F.col("capability"))).distinct()
+    return own.unionByName(far.join(own.select("file_id", "rule_id", "line").distinct(), ["file_id", "rule_id", "line"], "left_anti"))

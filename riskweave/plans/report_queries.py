@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import findings as fd
 from riskweave.operators.facts import python_facts
 from riskweave.operators.reports import json_reports, sarif
-from riskweave.operators.taint import uncapped_calls
+from riskweave.operators.taint import file_findings
 from riskweave.runtime import cut, table
 from riskweave.sources.external import classifier_hit, verdict
 from riskweave.sources.manifests import is_ai_package
@@ -39,7 +39,7 @@ def evidence_syntax(spark: SparkSession, d: str) -> DataFrame:
     """completion calls without a cap among evidence that parses as Python, by rule."""
     f = fd.delivered(spark, d, "rule_id", "evidence")
     x = f.select(F.col("finding_id").alias("file_id"), F.lit(".py").alias("suffix"), F.trim("evidence").alias("text"), "rule_id")
-    u = uncapped_calls(cut(python_facts(x))).select("file_id", "explicit")
+    u = file_findings(cut(python_facts(x))).where("rule_id = 'ORTHO-CONSUME-001'").select("file_id", (F.col("severity") == "MEDIUM").alias("explicit"))
     return u.join(x, "file_id").groupBy("rule_id", "explicit").agg(F.count(F.lit(1)).alias("calls"))
 
 

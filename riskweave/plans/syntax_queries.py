@@ -12,8 +12,8 @@ from riskweave.runtime import cut, table
 
 
 def python_rules(spark: SparkSession, d: str) -> DataFrame:
-    """R01, R12-R14, R16-R18 on Python files, by syntax."""
-    files = table(spark, d, "files", "file_id", "path", "suffix", "text")
+    """R01, R12-R14, R16-R18 on Python files, by syntax, within and across files."""
+    files = table(spark, d, "files", "file_id", "repo", "path", "suffix", "text")
     return python_findings(files, cut(python_facts(files)))
 
 

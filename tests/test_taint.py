@@ -46,6 +46,8 @@ def test_rules(found):
         (11, "ORTHO-MISINFO-001", 2), (17, "ORTHO-CONSUME-001", 1), (17, "ORTHO-CONSUME-001", 3), (2, "ORTHO-CONSUME-001", 3),
     }
     assert set(found) == want
+    assert [(s["line"], s["role"]) for s in found[1, "ORTHO-OUTPUT-001", 5]["trace"]] == [(2, "source"), (3, "propagates"), (4, "propagates"), (5, "sink")]
+    assert found[1, "ORTHO-OUTPUT-001", 5]["trace"][-1]["snippet"] == "eval(b)"
     assert found[8, "ORTHO-AGENCY-001", 4]["severity"] == "MEDIUM" and found[7, "ORTHO-AGENCY-001", 8]["severity"] == "CRITICAL"
     assert found[17, "ORTHO-CONSUME-001", 1]["severity"] == "MEDIUM" and found[17, "ORTHO-CONSUME-001", 3]["severity"] == "LOW"
 
@@ -92,9 +94,48 @@ def test_cross_module(spark):
     files = spark.createDataFrame([(i, "r", p, ".py", t) for i, (p, t) in enumerate(src.items())], "file_id int, repo string, path string, suffix string, text string")
     facts = cut(python_facts(files))
     mods = crossmodule.modules(files)
-    got = {(r["file_id"], r["line"]) for r in crossmodule.cross_module_sinks(facts, mods, taint.output_taint(facts)).collect()}
+    got = {(r["file_id"], r["line"]) for r in crossmodule.cross_module_sinks(facts, mods).collect()}
     assert got == {(2, 5), (2, 6)}  # through the re-export and the module; an ambiguous stem stays unresolved
     tools = {(r["file_id"], r["tool"], r["target"]) for r in crossmodule.cross_module_tools(facts, mods).collect()}
     assert tools == {(3, "t", 0)}
     n = spark.createDataFrame([("go", "f", 1), ("go", "f", 2), ("go", "g", 3)], "lang string, name string, owner int")
     assert [tuple(r) for r in crossmodule.unambiguous(n, ["lang"], "name", "owner").collect()] == [("go", "g", 3)]
+
+
+def _solve(text, path="a.py"):
+    from riskweave.operators.dataflow import solve
+
+    return {(r[6], r[2], r[7]) for r in solve(facts_of(text), text, path) if r[0] == "finding"}
+
+
+def test_tools_by_name_and_decorator():
+    body = "def f(x):\n    subprocess.run(x)\n"
+    shell = ("ORTHO-AGENCY-001", 2, "shell/command execution")
+    for t in ('T = {"type": "function", "name": "f"}\n', 'T = {"handler": f}\n', 'T = SearchTool(name="f")\n', "t = MyTool(func=f)\n"):
+        assert shell in _solve(body + t), t
+    assert ("ORTHO-AGENCY-001", 3, "shell/command execution") in _solve("@my_tool\n" + body)
+    assert not _solve(body + 'T = {"name": "f"}\n')
+    got = _solve("@tool\ndef f(x, cursor):\n    run(x, shell=True)\n    cursor.execute(x)\n    open(x, 'w')\n")
+    assert {g[2] for g in got} == {"shell/command execution", "raw SQL execution", "arbitrary file write"}
+
+
+def test_untrusted_input_is_never_cleared():
+    assert ("ORTHO-PI-001", 3, "") in _solve("def f(body):\n    p = json.loads(body)\n    system_prompt = 'a' + p\n")
+    assert ("ORTHO-PI-001", 2, "") in _solve("def f():\n    system_prompt = 'a' + str(request)\n")
+    assert not _solve("def f(xs):\n    for message in xs:\n        system_prompt = 'a' + message\n")
+    assert ("ORTHO-PI-001", 4, "") in _solve("def make(p):\n    system_prompt = 'Be ' + p\ndef g(user_input):\n    make(user_input)\n")
+
+
+def test_long_traces_keep_their_ends():
+    t = "def f(llm):\n    a0 = llm.invoke('x')\n" + "".join(f"    a{i + 1} = a{i}\n" for i in range(7)) + "    eval(a7)\n"
+    files = [r for r in __import__("riskweave.operators.dataflow", fromlist=["solve"]).solve(facts_of(t), t) if r[0] == "finding" and r[6] == "ORTHO-OUTPUT-001"]
+    way = [x.split("|")[:2] for x in files[0][9]]
+    assert way == [["2", "source"], ["6", "propagates"], ["7", "propagates"], ["8", "propagates"], ["9", "propagates"], ["10", "sink"]]
+
+
+def test_prompts_across_modules(spark):
+    src = {"a/p.py": "def make(text):\n    system_prompt = 'Be ' + text\n", "a/q.py": "from a.p import make\ndef g(user_input):\n    make(user_input)\n    make('x')\n"}
+    files = spark.createDataFrame([(i, "r", p, ".py", t) for i, (p, t) in enumerate(src.items())], "file_id int, repo string, path string, suffix string, text string")
+    facts = cut(python_facts(files))
+    assert [tuple(r) for r in crossmodule.cross_module_prompts(facts, crossmodule.modules(files)).collect()] == [(1, 3)]
+    assert {(r["file_id"], r["rule_id"], r["line"]) for r in taint.python_findings(files, facts).collect()} == {(1, "ORTHO-PI-001", 3)}
