@@ -45,13 +45,13 @@ def ranked(f: DataFrame, by: str = "scan_id") -> DataFrame:
     return f.withColumn("_conf", clamp01("confidence")).withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*rank_order()))).drop("_conf")
 
 
-def first_per(f: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_per(f: DataFrame, keys: list[str], order: list[Column], tie: str | None = "finding_id") -> DataFrame:
     """The first row of each key, by a pre-aggregated minimum: no window sort, and a heavy key costs one row a task.
 
-    ``order`` must be orderable columns, smallest first; ties go to the smaller finding_id.
+    ``order`` must be orderable columns, smallest first; ties go to the smaller ``tie``.
     """
     rest = [c for c in f.columns if c not in keys]
-    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("finding_id").alias("oid"))
+    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *([F.col(tie).alias("oid")] if tie else []))
     return f.groupBy(*keys).agg(F.min_by(F.struct(*rest), o).alias("x")).select(*keys, "x.*")
 
 

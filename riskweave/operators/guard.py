@@ -80,17 +80,18 @@ def _text_of(v: Column) -> Column:
     """Text of a content value: a string, or the texts of its blocks joined by line breaks."""
     blocks = F.from_json(v, "array<struct<type:string,text:string,content:string>>")
     joined = F.array_join(F.filter(F.transform(blocks, lambda b: F.coalesce(b["text"], b["content"])), lambda x: x.isNotNull()), "\n")
-    return F.when(v.startswith("["), joined).otherwise(v)
+    return F.when(v.startswith("["), F.coalesce(joined, v)).otherwise(v)
 
 
 def prompt_text(body: str | Column) -> Column:
-    """Text of a request body: contents of its messages, then ``system``, ``prompt`` and ``input``, joined by line breaks.
+    """Text of a request body: contents of its messages, then ``prompt`` and ``input``, joined by line breaks; a ``system``
+    text is the application's own and isn't looked at.
 
     A body that is no JSON object has none (null).
     """
     b = F.col(body) if isinstance(body, str) else body
     m = F.from_json(F.get_json_object(b, "$.messages"), "array<map<string,string>>")
-    parts = F.concat(F.coalesce(F.transform(m, lambda x: _text_of(F.element_at(x, "content"))), F.array().cast("array<string>")), F.array(*[_text_of(F.get_json_object(b, f"$.{k}")) for k in ("system", "prompt", "input")]))
+    parts = F.concat(F.coalesce(F.transform(m, lambda x: _text_of(F.element_at(x, "content"))), F.array().cast("array<string>")), F.array(*[_text_of(F.get_json_object(b, f"$.{k}")) for k in ("prompt", "input")]))
     t = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
     return F.when(F.get_json_object(b, "$").startswith("{"), t)
 
@@ -99,7 +100,7 @@ def output_text(body: str | Column) -> Column:
     """Text of a response body: its choices' messages or texts, and its content blocks, joined by line breaks."""
     b = F.col(body) if isinstance(body, str) else body
     c = F.from_json(F.get_json_object(b, "$.choices"), "array<struct<message:struct<content:string>,text:string>>")
-    parts = F.concat(F.coalesce(F.transform(c, lambda x: F.coalesce(_text_of(x["message"]["content"]), x["text"])), F.array().cast("array<string>")), F.array(_text_of(F.get_json_object(b, "$.content")), F.get_json_object(b, "$.output_text")))
+    parts = F.concat(F.coalesce(F.flatten(F.transform(c, lambda x: F.array(_text_of(x["message"]["content"]), x["text"]))), F.array().cast("array<string>")), F.array(_text_of(F.get_json_object(b, "$.content")), F.get_json_object(b, "$.output_text")))
     t = F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
     return F.when(F.get_json_object(b, "$").startswith("{"), t)
 

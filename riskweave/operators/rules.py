@@ -115,7 +115,7 @@ RULES: list[Rule] = [
     Rule("uncapped-js", "unbounded-consumption", "ORTHO-CONSUME-001", "Model call without limit on generated length", "MEDIUM", "LLM10", JS, r"(?i)(chat\.completions\.create|responses\.create|messages\.create)\s*\(", 0.55, after=8, unless_frame=r"(?i)(max_tokens|max_output_tokens|maxTokens)", tests_info=True),
     *[Rule(f"uncapped{s[0]}", "unbounded-consumption", "ORTHO-CONSUME-001", "Model call without limit on generated length", "MEDIUM", "LLM10", s, p, 0.55, before=8, after=8, unless_frame=_CAP, tests_info=True) for s, p in COMPLETIONS.items()],
     *[
-        Rule(f"agency{s[0]}-{i}", "tool-exposure", "ORTHO-AGENCY-001", f"Tool near {cap}", "CRITICAL", "LLM06", s, p, 0.75, before=14, after=5, frame=_TOOL, file=_TOOL, unless_line=_IMPORT, calm=_CONFIRM, calm_file=True, calm_severity="MEDIUM", calm_confidence=0.55)
+        Rule(f"agency{s[0]}-{i}", "tool-exposure", "ORTHO-AGENCY-001", f"Tool near {cap}", "CRITICAL", "LLM06", s, p, 0.75, code=False, before=14, after=5, frame=_TOOL, file=_TOOL, unless_line=_IMPORT, calm=_CONFIRM, calm_file=True, calm_severity="MEDIUM", calm_confidence=0.55)
         for s, caps in TOOL_SINKS.items()
         for i, (cap, p) in enumerate(caps.items())
     ],

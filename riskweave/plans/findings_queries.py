@@ -107,13 +107,21 @@ def kloc_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_context(spark: SparkSession, d: str) -> DataFrame:
-    """Six lines of code around each finding of severity HIGH or worse, where its file still exists."""
-    f = fd.delivered(spark, d, "repo", "file", "line", "severity").where("sev_value >= 4 and line > 0")
-    files = table(spark, d, "files", "repo", "path", "text").where("text is not null")
-    j = f.join(files, (f["repo"] == files["repo"]) & (f["file"] == files["path"])).select("finding_id", "line", split_lines("text").alias("ls"))
+    """Six lines of code around each finding, its own marked; the first twelve for a finding on the whole file.
+    The evidence stands where no such lines exist: the file is gone, empty or shorter.
+
+    Lines are split once a file and cut once a (file, line), before they meet the findings.
+    """
+    f = fd.delivered(spark, d, "repo", "file", "line", "evidence")
+    files = table(spark, d, "files", "repo", "path", "text").where("text is not null and text <> ''")
+    files = files.select("repo", F.col("path").alias("file"), split_lines("text").alias("ls"))
+    at = f.select("repo", "file", "line").where("line is not null").distinct().join(files, ["repo", "file"]).where(F.col("line") <= F.size("ls"))
     from_ = F.greatest(F.lit(1), F.col("line") - 6)
-    j = j.where(F.col("line") <= F.size("ls"))
-    return j.select("finding_id", F.concat_ws("\n", F.slice("ls", from_, F.col("line") + 6 - from_ + 1)).alias("context"))
+    around = F.when(F.col("line") <= 0, F.slice("ls", 1, 12)).otherwise(F.slice("ls", from_, F.greatest(F.lit(1), F.col("line") + 6 - from_ + 1)))
+    first = F.when(F.col("line") <= 0, F.lit(1)).otherwise(from_)
+    marked = F.transform(around, lambda x, i: F.concat(F.when(i + first == F.col("line"), ">> ").otherwise("   "), (i + first).cast("string"), F.lit(": "), x))
+    c = at.select("repo", "file", "line", F.concat_ws("\n", marked).alias("context"))
+    return f.join(c, ["repo", "file", "line"], "left").select("finding_id", F.coalesce("context", "evidence", F.lit("")).alias("context"))
 
 
 def sarif_results(spark: SparkSession, d: str) -> DataFrame:
@@ -223,8 +231,11 @@ ORACLE = {
  select owasp_llm, sum(n)::bigint as findings, count(*) as repos, round(avg(high), 6) as share_high, round(avg(n), 6) as per_repo from r group by owasp_llm""",
     "kloc_rates": r"""with p as (select regexp_replace(regexp_replace(lower(trim(repo)), '/+$', ''), '\.git$', '') as repo, loc, findings, batch_no from per_repo where status = 'ok' and loc > 0),
  r as (select *, row_number() over (partition by repo order by batch_no desc, loc desc, findings desc) as n from p) select repo, round(1000 * findings / loc, 6) as per_kloc from r where n = 1""",
-    "evidence_context": f"""{_F}, j as (select finding_id, line, {_LINES} as ls from g join files on files.repo = g.repo and files.path = g.file where sev_value >= 4 and line > 0 and text is not null and text <> '')
- select finding_id, array_to_string(ls[greatest(1, line - 6) : line + 6], chr(10)) as context from j where line <= len(ls)""",
+    "evidence_context": f"""{_F}, j as (select finding_id, line, {_LINES} as ls from g join files on files.repo = g.repo and files.path = g.file where text is not null and text <> ''),
+ k as (select finding_id, line, unnest(range(1, len(ls) + 1)) as no, unnest(ls) as x from j where line <= len(ls)),
+ c as (select finding_id, string_agg(case when no = line then '>> ' else '   ' end || no || ': ' || x, chr(10) order by no) as context from k
+  where case when line <= 0 then no <= 12 else no between line - 6 and line + 6 end group by 1)
+ select finding_id, coalesce(c.context, g.evidence, '') as context from g left join c using (finding_id)""",
     "sarif_results": f"""{_F} select finding_id, s.level, s.security_severity, round(s.sev_value * 10.0::double * case when confidence is null or isnan(confidence) then 0.0 else confidence end, 1) as rank,
  case when coalesce(line, 0) = 0 then file else file || ':' || line end as location,
  substr(sha1(coalesce(rule_id, '') || '|' || coalesce(file, '') || '|' || coalesce({_TRIM % 'evidence'}, '')), 1, 16) as partial_fingerprint from g join sev s on s.severity = g.severity""",

@@ -44,10 +44,14 @@ def evidence_syntax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts and labels read from model answers."""
-    rows = [(1, 'Sure: {"verdict": "confirmed"}', '[{"label": "SAFE", "score": 0.9}, {"label": "INJECTION", "score": 0.7}]'), (2, "This is a false positive.", '[{"label": "INJECTION", "score": 0.3}]'), (3, "I cannot tell", "no json"), (4, '{"real": true}', "[]")]
-    x = spark.createDataFrame(rows, "id int, answer string, items string")
-    return x.select("id", verdict("answer").alias("verdict"), classifier_hit("items").alias("label"))
+    """Verdicts and labels read from model answers made of all findings."""
+    f = fd.delivered(spark, d, "confidence_tier", "severity", "confidence", "evidence")
+    tier = F.when(F.col("confidence_tier") == "deterministic", "confirmed").otherwise(F.coalesce("confidence_tier", F.lit("none")))
+    spoken = F.concat(F.lit("I say "), tier, F.when(F.col("severity") == "LOW", F.lit(", not false")).otherwise(F.lit("")))
+    answer = F.when(F.col("finding_id") % 3 == 0, spoken).otherwise(F.concat(F.lit("Sure: "), F.to_json(F.struct(F.upper(tier).alias("verdict"), F.lit("not confirmed").alias("reason"))), F.lit(" done")))
+    score = F.when(F.isnan("confidence"), 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    items = F.to_json(F.array(F.struct(F.lit("SAFE").alias("label"), F.lit(2.0).alias("score")), F.struct(F.coalesce("severity", F.lit("benign")).alias("label"), score.alias("score"))))
+    return f.select("finding_id", verdict(answer).alias("verdict"), classifier_hit(items).alias("label"))
 
 
 QUERIES = {f.__name__: f for f in (json_report_sizes, sarif_documents, dependency_evidence, evidence_syntax, model_answers)}
@@ -59,5 +63,8 @@ ORACLE = {
  q as (select c.scan_id, c.findings, coalesce(least(100, greatest(0, round_even(100 * exp(-penalty / 100), 0)))::int, 100) as score from c left join p on p.scan_id = c.scan_id)
  select scan_id, findings::int as findings, score, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from q""",
     "sarif_documents": f"{_F} select scan_id, count(*)::int as results, count(distinct rule_id)::int as rules from g where sev_value is not null group by scan_id",
-    "model_answers": "select * from (values (1, 'confirmed', 'INJECTION'), (2, 'rejected', null), (3, null, null), (4, 'confirmed', null)) v(id, verdict, label)",
+    "model_answers": f"""{_F}, t as (select *, case when confidence_tier = 'deterministic' then 'confirmed' else coalesce(confidence_tier, 'none') end as tier, coalesce(case when isnan(confidence) then 0 else confidence end, 0) as score from g)
+ select finding_id, case when finding_id % 3 = 0 then case when contains(tier, 'confirmed') then 'confirmed' when contains(tier, 'false') or severity = 'LOW' then 'false_positive' else 'uncertain' end
+  when lower(tier) in ('confirmed', 'uncertain', 'false_positive') then lower(tier) else 'uncertain' end as verdict,
+ case when severity is not null and score >= 0.5 then severity end as label from t""",
 }

@@ -26,7 +26,7 @@ def is_ai_package(name: str | Column) -> Column:
 
 def pip_requirements(files: DataFrame) -> DataFrame:
     """(file_id, line, raw, req, package, version) of requirements files; blank and comment lines are left out."""
-    f = files.where(F.col("path").rlike(r"(?i)(^|/)requirements[^/]*\.txt$") & F.col("text").isNotNull())
+    f = files.where(F.col("path").rlike(r"(?i)(^|/)([^/]*requirements[^/]*\.txt|constraints\.txt)$") & F.col("text").isNotNull())
     x = f.select("file_id", F.posexplode(split_lines("text")).alias("p", "raw")).withColumn("req", F.regexp_replace("raw", r"^\s+|\s+$", ""))
     x = x.where((F.col("req") != "") & ~F.col("req").startswith("#"))
     v = F.regexp_extract("req", r"==\s*([A-Za-z0-9_.\-+!]+)", 1)

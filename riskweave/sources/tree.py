@@ -27,6 +27,12 @@ def wanted(name: str) -> bool:
     return (suffix in SUFFIXES or name == ".env") and not SKIP_FILE.search(name)
 
 
+def excluded(rel: str, pattern: str) -> bool:
+    """Whether a path matches a pattern as a whole, lies below a folder of that name at any depth, or has it as a segment."""
+    p = pattern.rstrip("/")
+    return fnmatch.fnmatch(rel, p) or f"/{p}/" in f"/{rel}/"
+
+
 def walk(root: str, exclude: tuple[str, ...] = ()) -> list[tuple[str, int]]:
     """(relative path, size) of the files to read, sorted; a single file is taken whatever it is."""
     if os.path.isfile(root):
@@ -37,7 +43,7 @@ def walk(root: str, exclude: tuple[str, ...] = ()) -> list[tuple[str, int]]:
         for n in sorted(names):
             full = os.path.join(folder, n)
             rel = os.path.relpath(full, root)
-            if not wanted(n) or any(fnmatch.fnmatch(rel, p) or rel.startswith(p.rstrip("/") + "/") for p in exclude):
+            if not wanted(n) or any(excluded(rel, p) for p in exclude):
                 continue
             try:
                 size = os.path.getsize(full)

@@ -33,7 +33,7 @@ def hits(spark):
     rows = []
     for i, (_, suffix, bad, good) in enumerate(CASES):
         rows += [(2 * i, "r", f"src/a{i}{suffix}", suffix.upper(), bad), (2 * i + 1, "r", f"src/b{i}{suffix}", suffix, good)]
-    rows += [(900, "r", "x.py", ".py", None), (901, "r", "y.py", ".py", ""), (902, "r", "z.bin", None, "pickle.load(f)"), (903, "r", "tests/t.ts", ".ts", "c.chat.completions.create({})"), (904, "r", "m.js", ".js", "confirm(x)\nnew MyTool()\nexecSync(a)\n")]
+    rows += [(900, "r", "x.py", ".py", None), (901, "r", "y.py", ".py", ""), (902, "r", "z.bin", None, "pickle.load(f)"), (903, "r", "tests/t.ts", ".ts", "c.chat.completions.create({})"), (904, "r", "m.js", ".js", "confirm(x)\nnew MyTool()\nexecSync(a)\n"), (905, "r", "t.rs", ".rs", "#[tool]\nfn f() {\n  Command::new(\"sh\");\n}\n")]
     df = spark.createDataFrame(rows, "file_id int, repo string, path string, suffix string, text string")
     return {(r["file_id"], r["key"]): r for r in line_findings(df).collect()}
 
@@ -45,6 +45,7 @@ def test_fires_and_stays_silent(hits, i):
 
 
 def test_severities(hits):
+    assert (905, "agency.rs-0") in hits
     assert hits[903, "uncapped-js"]["severity"] == "INFO" and hits[904, "agency.js-0"]["severity"] == "MEDIUM"
     assert not any(k[0] in (900, 901, 902) for k in hits)
     assert len({r.key for r in RULES}) == len(RULES)

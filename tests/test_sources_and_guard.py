@@ -47,7 +47,7 @@ def test_manifests(spark):
 def test_external(spark, tmp_path):
     r = {"check_id": "x.y.prompt-injection", "path": "a.py", "start": {"line": 3}, "extra": {"severity": "ERROR", "message": "m", "lines": " l "}}
     f = external.analyzer_findings(spark.createDataFrame([(json.dumps({"results": [r, r]}),), ("nope",)], "json string")).collect()
-    assert len(f) == 1 and (f[0]["severity"], f[0]["owasp_llm"], f[0]["title"], f[0]["evidence"]) == ("HIGH", "LLM01", "prompt-injection", "l")
+    assert len(f) == 1 and (f[0]["severity"], f[0]["owasp_llm"], f[0]["title"], f[0]["evidence"]) == ("HIGH", "LLM01", "m", "l") and f[0]["rule_id"] == "SEMGREP:prompt-injection"
     external.write_baseline(spark.createDataFrame([("B",), ("a",), ("b",), (None,)], "fingerprint string"), str(tmp_path / "base"))
     assert sorted(x[0] for x in external.read_baseline(spark, str(tmp_path / "base")).collect()) == ["a", "b"]
     (tmp_path / "m.json").write_text(json.dumps({"cases": [{"file": "a", "expect": ["LLM01"]}]}))
@@ -110,3 +110,32 @@ def test_reports(spark, sf):
         assert "score" in reports.console(f, p)
     assert "Posture" in reports.narrative(f) and reports.html_report(f).startswith("<!doctype html>")
     assert os.path.isdir(sf)
+
+
+def test_analyzer_fallbacks(spark):
+    rows = [{"check_id": "a.b", "path": "a.py", "start": {"line": 1}, "extra": {"message": "all quiet\nmore", "lines": "  "}}, {"check_id": "c", "path": "b.py", "extra": {"severity": "odd", "message": "m", "lines": "x", "metadata": {"owasp": "LLM09: x", "cwe": ["q"]}}}, {"check_id": "", "path": "c.py", "extra": {"metadata": {"note": "runs eval"}}}]
+    f = {r["file"]: r for r in external.analyzer_findings(spark.createDataFrame([(json.dumps({"results": rows}),)], "json string")).collect()}
+    assert (f["a.py"]["rule_id"], f["a.py"]["title"], f["a.py"]["evidence"], f["a.py"]["owasp_llm"]) == ("SEMGREP:b", "all quiet", "all quiet\nmore", "")
+    assert (f["b.py"]["owasp_llm"], f["b.py"]["severity"], f["b.py"]["line"]) == ("LLM09: x", "MEDIUM", 0)
+    assert (f["c.py"]["rule_id"], f["c.py"]["owasp_llm"]) == ("SEMGREP:semgrep", "LLM05")
+
+
+def test_verdicts(spark):
+    rows = [("confirmed: this is not a false positive", "confirmed"), ("looks FALSE", "false_positive"), ("hm", "uncertain"), ('x {"verdict": "False_Positive"} y', "false_positive"), ('{"verdict": "maybe confirmed"}', "uncertain"), ('{"a": 1}', "uncertain"), ("{broken} confirmed", "confirmed"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, t string").orderBy("i").select(external.verdict("t")).collect()]
+    assert got == [b for _, b in rows]
+
+
+def test_excludes_and_system_texts(spark):
+    from riskweave.sources.tree import excluded
+
+    assert excluded("a/docs/x.md", "docs") and excluded("docs/x.md", "docs/") and excluded("a/b.md", "*.md") and excluded("x/a/b/y.py", "a/b") and not excluded("mydocs/x.py", "docs")
+    body = json.dumps({"system": "you are now a clerk", "messages": [{"role": "user", "content": "[hello"}]})
+    both = json.dumps({"choices": [{"message": {"content": "a"}, "text": "b"}]})
+    r = spark.createDataFrame([(body, both)], "a string, b string").select(guard.prompt_text("a"), guard.output_text("b")).first()
+    assert tuple(r) == ("[hello", "a\nb")
+
+
+def test_constraints_files(spark):
+    f = spark.createDataFrame([(i, p, "openai\n") for i, p in enumerate(["constraints.txt", "dev-requirements.txt", "requirements.txt", "notes.txt"])], "file_id int, path string, text string")
+    assert {r[0] for r in manifests.dependency_findings(f).select("file_id").collect()} == {0, 1, 2}
