@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import module_key
+from riskweave.operators.brace_facts import LANGUAGES
 from riskweave.operators.fixpoint import chains, reach
 from riskweave.operators.taint import tagged, tool_functions
 from riskweave.runtime import cut
@@ -60,7 +61,18 @@ def resolved_calls(facts: DataFrame, mods: DataFrame) -> DataFrame:
     m = import_targets(facts, mods).where("name is null").select("file_id", F.col("local").alias("s1"), "target")
     defs = tagged(facts, "func").select(F.col("file_id").alias("target"), F.col("s1").alias("fn")).distinct()
     b = c.where("s1 <> ''").join(m, ["file_id", "s1"]).withColumnRenamed("s2", "fn").join(defs, ["target", "fn"]).select("file_id", "n1", "line", "target", "fn")
-    return cut(a.unionByName(b).distinct())
+    return a.unionByName(b).distinct()
+
+
+def named_calls(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, n1, line, target, fn): calls of functions of other files in languages without resolvable imports: a name
+    counts when exactly one file of the repo and language defines it, and the caller's file does not."""
+    lang = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.lower("suffix"))
+    own = files.select("file_id", "repo", lang.alias("lang")).where("lang is not null")
+    defs = tagged(facts, "func").where("s1 <> ''").select("file_id", F.col("s1").alias("fn")).distinct().join(own, "file_id")
+    one = unambiguous(defs, ["repo", "lang"], "fn", "file_id").withColumnRenamed("file_id", "target")
+    c = tagged(facts, "call").where("scope = ''").select("file_id", "n1", "line", F.col("s2").alias("fn")).distinct().join(own, "file_id")
+    return c.join(one, ["repo", "lang", "fn"]).where("target <> file_id").select("file_id", "n1", "line", "target", "fn")
 
 
 def _handed_over(facts: DataFrame, calls: DataFrame, mark: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 # Name patterns, sinks and capabilities.
 OUTPUT_NAME = re.compile(r"(?i)(completion|response|\banswer|reply|generated|assistant|\boutput(?!_?(?:path|file|dir|folder|name|filename|wav|mp3|pcm|png|jpe?g|gif|csv|json|ya?ml|txt|md|html|pdf|url|uri|dst|dest|target|size|len|count|format|ext|buffer|stream|bytes|fd|handle|loc|location))|\bresp\b|choices)")
@@ -42,6 +43,24 @@ TAG, SCOPE, LINE, END, N1, N2, S1, S2, S3, REFS, REFS2, KW, B1, B2, B3 = range(1
 SLICE_ROUNDS, TRACE_STEPS = 8, 5
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """What names and calls mean in a language."""
+
+    output: re.Pattern
+    user: re.Pattern
+    system: re.Pattern
+    kind: Callable[[tuple], str | None]
+    power: Callable[[tuple], str | None]
+    #: explicit completion call (True), a likely one (False), or none (None)
+    completes: Callable[[tuple], bool | None]
+    logs: Callable[[tuple], bool]
+    requests: frozenset[str]
+    remark: str = "#"
+    #: whether functions that return model output count as model calls where they are called
+    returns: bool = False
+
+
 def _row(tag: str, line: int, **v) -> tuple:
     names = ["scope", "line", "end", "n1", "n2", "s1", "s2", "s3", "refs", "refs2", "kw", "b1", "b2", "b3"]
     v = {"scope": "", "line": line, "end": 0} | v
@@ -77,6 +96,64 @@ def capability(call: tuple) -> str | None:
     return "raw SQL execution"
 
 
+def _logs(call: tuple) -> bool:
+    return call[S2] == "print" if not call[S1] else call[S2] in LOG_METHODS or call[S1] in LOG_OBJECTS
+
+
+def _completes(call: tuple) -> bool | None:
+    return True if chain(call) in COMPLETIONS else False if call[S1] and call[S2] in ("generate", "acreate", "complete") else None
+
+
+PYTHON = Dialect(OUTPUT_NAME, USER_NAME, SYSTEM_NAME, sink_kind, capability, _completes, _logs, REQUEST_NAMES)
+
+
+# Names, sinks and powers in languages with braces; a key is an object and a method, or a method alone.
+BRACE_OUTPUT = re.compile(r"(?i)(completion|response|answer|reply|generated|assistant|output(?!path|file|dir|name|buf|stream|writer|target|location|dest)|resp|choices)")
+BRACE_USER = re.compile(r"(?i)(user_?(input|query|message|content|prompt)|\bquestion\b|\binput\b|\bquery\b|\bbody\b|\bpayload\b|\breq\b|\brequest\b|\bmsg\b|\bmessage\b)")
+BRACE_SYSTEM = re.compile(r"(?i)(system_?prompt|system_?message|system_?instruction|sys_?prompt)")
+BRACE_DB = re.compile(r"(?i)(cursor|conn|connection|\bdb\b|database|session|sql|knex|prisma|pool|statement|stmt|\bmysqli|\bpdo\b)")
+BRACE_SHELL = re.compile(r"(?i)(child_?process|^cp$|^cproc$|shelljs|execa)")
+HTML, SHELL, CODE = "HTML injection (XSS)", "shell execution", "code execution (eval/exec)"
+BRACE_SINKS = {
+    **dict.fromkeys(["eval", "Function"], CODE), **dict.fromkeys(["innerHTML", "outerHTML", "dangerouslySetInnerHTML", "insertAdjacentHTML", "document.write", "template.HTML", "Html.Raw"], HTML),
+    **dict.fromkeys(["execSync", "spawnSync", "execFile", "exec.Command", "exec.CommandContext", "ProcessBuilder", "Process.Start", "Command.new", "shell_exec", "passthru", "proc_open", "system", "popen", "getRuntime.exec", "runtime.exec"], SHELL),
+}
+BRACE_SQL = frozenset("query querycontext queryrow queryrowcontext exec execcontext execute executequery executeupdate executesqlraw fromsqlraw raw queryrawunsafe".split())
+BRACE_POWERS = {
+    **dict.fromkeys(["fs.writeFile", "fs.writeFileSync", "fs.unlink", "fs.rm", "os.Remove", "os.RemoveAll", "os.WriteFile", "Files.write", "Files.delete", "File.Delete", "File.WriteAllText", "unlink", "file_put_contents", "fs.write", "fs.remove_file"], "arbitrary file write/delete"),
+    **dict.fromkeys(["fetch", "axios.get", "axios.post", "http.Get", "http.Post", "http.NewRequest", "curl_exec", "reqwest.get"], "arbitrary outbound HTTP"),
+}
+BRACE_COMPLETIONS = frozenset("completions.create messages.create responses.create".split())
+BRACE_COMPLETION_CALLS = frozenset("createchatcompletion createcompletion createchatcompletionstream generatecontent completechat completechatasync".split())
+
+
+def _brace_kind(call: tuple) -> str | None:
+    key = chain(call)
+    got = BRACE_SINKS.get(key) or BRACE_SINKS.get(call[S2])
+    if got:
+        return got
+    if call[S2] in ("exec", "spawn") and (not call[S1] or BRACE_SHELL.search(call[S1])):
+        return SHELL
+    return "SQL execution" if call[S2].lower() in BRACE_SQL and BRACE_DB.search(call[S1] or "") else None
+
+
+def _brace_power(call: tuple) -> str | None:
+    got = BRACE_POWERS.get(chain(call)) or BRACE_POWERS.get(call[S2])
+    kind = None if got else _brace_kind(call)
+    return got or {SHELL: "shell/command execution", CODE: "code execution", "SQL execution": "raw SQL execution"}.get(kind or "")
+
+
+def _brace_completes(call: tuple) -> bool | None:
+    return True if chain(call) in BRACE_COMPLETIONS or call[S2].lower() in BRACE_COMPLETION_CALLS else None
+
+
+def _brace_logs(call: tuple) -> bool:
+    return bool(call[S1]) and (call[S1].lower() in ("console", "logger", "log", "slog", "logging") or call[S1] == "fmt" and call[S2].startswith("Print"))
+
+
+BRACES = Dialect(BRACE_OUTPUT, BRACE_USER, BRACE_SYSTEM, _brace_kind, _brace_power, _brace_completes, _brace_logs, frozenset(["req", "request"]), "//", True)
+
+
 def spread_names(seeds: Iterable[str], assigns: list[tuple], clears: bool) -> set[str]:
     """All names that ``seeds`` reach over assignments; with ``clears`` a sanitizer on top of the value stops them."""
     users = defaultdict(list)
@@ -120,8 +197,8 @@ def trace(names: Iterable[str], tainted: set[str], assigns: list[tuple], params:
 class File:
     """The facts of one file by tag and scope, with the taint of its scopes worked out when asked for."""
 
-    def __init__(self, rows: list[tuple], text: str, path: str, returns: bool = False):
-        self.lines, self.path, self.text = text.splitlines(), path, text
+    def __init__(self, rows: list[tuple], text: str, dialect: Dialect):
+        self.lines, self.dialect = text.splitlines(), dialect
         self.by: dict[str, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
         for r in rows:
             self.by[r[TAG]][r[SCOPE]].append(r)
@@ -129,7 +206,7 @@ class File:
         self._taints: dict[tuple[str, str], set[str]] = {}
         # functions that return model output count as such where a language's calls are read by name
         self.makers: set[str] = set()
-        while returns:
+        while dialect.returns:
             more = {f[S1] for s, f in self.funcs.items() if any(r[B1] or self.output(s) & set(r[REFS]) for r in self.by["return"][s])} - self.makers
             if not more:
                 break
@@ -147,14 +224,15 @@ class File:
     def output(self, scope: str) -> set[str]:
         """Names that hold model output."""
         a = self.by["assign"][scope]
-        return self._cached("output", scope, lambda: spread_names(self._seeds(scope, OUTPUT_NAME) | self.makers | {x[S1] for x in a if x[B1] and not x[B2]}, a, True))
+        return self._cached("output", scope, lambda: spread_names(self._seeds(scope, self.dialect.output) | self.makers | {x[S1] for x in a if x[B1] and not x[B2]}, a, True))
 
     def untrusted(self, scope: str) -> set[str]:
         """Names that hold user input; loop variables are no source, and no sanitizer clears it."""
         a = self.by["assign"][scope]
         loops = {n[S1] for n in self.by["name"][scope] if n[S2] == "loop"}
-        seeds = (self._seeds(scope, USER_NAME, ("store",)) - loops) | self._seeds(scope, USER_NAME, ("param",)) | {x[S1] for x in a if x[B3]}
-        return self._cached("untrusted", scope, lambda: spread_names(seeds | REQUEST_NAMES, a, False))
+        user = self.dialect.user
+        seeds = (self._seeds(scope, user, ("store",)) - loops) | self._seeds(scope, user, ("param",)) | {x[S1] for x in a if x[B3]}
+        return self._cached("untrusted", scope, lambda: spread_names(seeds | self.dialect.requests, a, False))
 
     def params(self, scope: str) -> dict[str, int]:
         return dict.fromkeys(self.funcs[scope][REFS], self.funcs[scope][LINE]) if scope in self.funcs else {}
@@ -167,7 +245,7 @@ def _prompts(f: File, scope: str, tainted: set[str]) -> list[tuple[int, list[str
     """(line, names) of system prompts of a scope that hold a tainted name or request data."""
     if any(t[B1] for t in f.by["text"][scope]):
         return []
-    made = [a for a in f.by["assign"][scope] if SYSTEM_NAME.search(a[S1])] + [d for d in f.by["dict"][scope] if d[S1] == "system"]
+    made = [a for a in f.by["assign"][scope] if f.dialect.system.search(a[S1])] + [d for d in f.by["dict"][scope] if d[S1] == "system"]
     return [(a[LINE], a[REFS]) for a in made if a[B3] or tainted & set(a[REFS])]
 
 
@@ -175,7 +253,7 @@ def summaries(f: File) -> list[tuple]:
     """What each parameter reaches within its function."""
     out = []
     for scope, fn in f.funcs.items():
-        calls = [(c, sink_kind(c)) for c in f.by["call"][scope]]
+        calls = [(c, f.dialect.kind(c)) for c in f.by["call"][scope]]
         calls = [(c, k) for c, k in calls if k]
         prompts = _prompts(f, scope, {n for a in [*f.by["assign"][scope], *f.by["dict"][scope]] for n in a[REFS]})
         if not calls and not prompts:
@@ -200,9 +278,10 @@ def tools(f: File) -> dict[str, bool]:
     return out
 
 
-def solve(rows: list[tuple], text: str, path: str = "", returns: bool = False) -> list[tuple]:
+def solve(rows: list[tuple], text: str, path: str = "", dialect: Dialect | None = None) -> list[tuple]:
     """``rows`` with marked arguments, and the findings, summaries and sinks of the file."""
-    f = File(rows, text, path, returns)
+    d = dialect or PYTHON
+    f = File(rows, text, d)
     found: dict[tuple, tuple] = {}
 
     def find(rule: str, line: int, severity: str, detail: str = "", way: list[str] | None = None, key: str = "") -> None:
@@ -219,7 +298,7 @@ def solve(rows: list[tuple], text: str, path: str = "", returns: bool = False) -
     out = f.output("")
     hits: dict[int, tuple[str, list[str]]] = {}
     for c in f.by["call"][""]:
-        kind = sink_kind(c)
+        kind = d.kind(c)
         names = (c[REFS2] if kind == "SQL execution" else c[REFS]) or []
         if kind and (out & set(names) or (c[B3] if kind == "SQL execution" else c[B2])):
             hits[c[LINE]] = min(hits.get(c[LINE], (kind, names)), (kind, names))
@@ -243,18 +322,17 @@ def solve(rows: list[tuple], text: str, path: str = "", returns: bool = False) -
         bad = f.untrusted(scope)
         for line, names in _prompts(f, scope, bad):
             find("ORTHO-PI-001", line, "HIGH", "", f.way(names, bad, scope, line))
-    leaky = {s: spread_names(f._seeds(s, SYSTEM_NAME), f.by["assign"][s], False) for s in ["", *f.funcs]}
+    leaky = {s: spread_names(f._seeds(s, d.system), f.by["assign"][s], False) for s in ["", *f.funcs]}
     for scope, names in leaky.items():
         for c in f.by["call"][scope]:
-            logs = c[S2] == "print" if not c[S1] else c[S2] in LOG_METHODS or c[S1] in LOG_OBJECTS
-            if logs and names & set(c[REFS]):
+            if d.logs(c) and names & set(c[REFS]):
                 find("ORTHO-PROMPTLEAK-001", c[LINE], "MEDIUM", "", f.way(c[REFS], names, scope, c[LINE]))
     # what tools can do, by themselves and through local calls
     does, local = defaultdict(set), defaultdict(set)
     names = {fn[S1] for fn in f.funcs.values()}
     for scope, fn in f.funcs.items():
         for c in f.by["call"][scope]:
-            if cap := capability(c):
+            if cap := d.power(c):
                 does[fn[S1]].add((c[LINE], cap))
             if c[S2] in names:
                 local[fn[S1]].add(c[S2])
@@ -266,9 +344,8 @@ def solve(rows: list[tuple], text: str, path: str = "", returns: bool = False) -
             todo += new
         for line, cap in sorted({x for n in seen for x in does[n]}):
             find("ORTHO-AGENCY-001", line, "MEDIUM" if asks else "CRITICAL", cap, key=cap)
-    for c in sorted(f.by["call"][""], key=lambda c: chain(c) not in COMPLETIONS):
-        explicit = chain(c) in COMPLETIONS
-        if (explicit or c[S1] and c[S2] in ("generate", "acreate", "complete")) and not CAP_KEYS & {k.lower() for k in c[KW] or ()}:
+    for c, explicit in sorted(((c, d.completes(c)) for c in f.by["call"][""]), key=lambda x: not x[1]):
+        if explicit is not None and not CAP_KEYS & {k.lower() for k in c[KW] or ()}:
             find("ORTHO-CONSUME-001", c[LINE], "MEDIUM" if explicit else "LOW")
     for scope in list(f.by["loop"]):
         for x in f.by["loop"][scope]:
@@ -276,7 +353,7 @@ def solve(rows: list[tuple], text: str, path: str = "", returns: bool = False) -
                 find("ORTHO-CONSUME-002", x[LINE], "MEDIUM")
     if HIGH_STAKES.search(text) or HIGH_STAKES.search(path):
         for scope, fn in f.funcs.items():
-            body = "\n".join(x.split("#", 1)[0] for x in f.lines[fn[LINE] - 1 : fn[END]])
+            body = "\n".join(x.split(d.remark, 1)[0] for x in f.lines[fn[LINE] - 1 : fn[END]])
             if USERFACING.search(fn[S1]) and not GROUNDING.search(body):
                 for r in f.by["return"][scope]:
                     if r[B1] or f.output(scope) & set(r[REFS]):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.dataflow import solve
+from riskweave.operators.dataflow import BRACES, solve
 from riskweave.runtime import spread
 
 # Names and patterns by which calls, names and texts are told apart.
@@ -206,20 +206,29 @@ def facts_of(text: str | None) -> list[tuple]:
     return rows
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """The fact table of the Python files of ``files`` (file_id, suffix, text, and path if there is one); other files are
-    left out."""
+def syntax_facts(files: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """The fact table of the files of ``files`` (file_id, suffix, text, and path if there is one) in Python or a language with
+    braces, or of ``suffixes`` only; other files are left out."""
+    from riskweave.operators.brace_facts import LANGUAGES
+
     path = F.coalesce("path", F.lit("")) if "path" in files.columns else F.lit("")
-    x = files.where((F.lower("suffix") == ".py") & F.col("text").isNotNull()).select("file_id", "text", path.alias("path"))
+    x = files.select("file_id", "text", path.alias("path"), F.lower("suffix").alias("suffix")).where(F.col("suffix").isin(*(suffixes or (".py", *LANGUAGES))) & F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from riskweave.operators.brace_facts import brace_facts_of
+
         for b in batches:
             ids, rows = [], []
-            for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                got = solve(facts_of(t), t, p)
+            for i, (t, p, s) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                got = solve(facts_of(t), t, p) if s == ".py" else solve(brace_facts_of(LANGUAGES[s], t), t, p, BRACES)
                 rows += got
                 ids += [i] * len(got)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)]], names=_NAMES)
 
     return spread(x).mapInArrow(run, SCHEMA.format(dict(x.dtypes)["file_id"]))
+
+
+def python_facts(files: DataFrame) -> DataFrame:
+    """The fact table of the Python files alone."""
+    return syntax_facts(files, (".py",))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.text import fingerprint, location, split_lines, squeeze
-from riskweave.operators.facts import python_facts
+from riskweave.operators.facts import syntax_facts
 from riskweave.operators.findings import first_per, inline_suppressed, sev_values
 from riskweave.operators.rules import line_findings
-from riskweave.operators.taint import python_findings
+from riskweave.operators.taint import syntax_findings
 from riskweave.runtime import broadcast_if_small, cut
 from riskweave.sources.manifests import advisories_for, dependency_findings
 
@@ -47,20 +47,21 @@ def _described(x: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, advisories: DataFrame | None = None, marker: str = "riskweave") -> DataFrame:
-    """The findings of a scan of ``files`` (file_id, repo, path, suffix, text), one row a (rule, file, line, title).
+    """The findings of a scan of ``files`` (file_id, repo, path, suffix, text), one row a (rule, file, line), and for tools
+    a capability; where a line rule and a syntax rule meet, the line rule's row stands.
 
     Line rules, syntax rules within and across files, dependency rules, and with ``advisories`` those as well; findings
     silenced by a directive are left out. Null and empty texts give none. Columns are those of the findings table;
-    ``finding_id`` is a hash of the finding's place, rule and title.
+    ``finding_id`` is a hash of the finding's place and rule.
     """
     code = line_findings(files).select("file_id", "repo", "file", "line", "detector", "rule_id", "title", "severity", "owasp_llm", "evidence", "confidence", F.array().cast(STEP).alias("trace"), "det_ord")
     none = F.array().cast(STEP).alias("trace")
-    other = python_findings(files, cut(python_facts(files))).unionByName(dependency_findings(files).select("file_id", "rule_id", "line", "severity", F.col("package").alias("detail"), none))
+    other = syntax_findings(files, cut(syntax_facts(files))).unionByName(dependency_findings(files).select("file_id", "rule_id", "line", "severity", F.col("package").alias("detail"), none))
     if advisories is not None:
         a = advisories_for(files, advisories)
         other = other.unionByName(a.select("file_id", F.lit("ORTHO-DEP-003").alias("rule_id"), "line", F.lit("HIGH").alias("severity"), F.concat_ws(" ", "package", "version", "title").alias("detail"), none))
     x = code.unionByName(_described(cut(other), files))
     x = x.withColumn("sev_value", F.element_at(sev_values(), F.col("severity"))).withColumn("confidence_tier", F.lit("deterministic")).withColumn("emit_ord", F.col("line"))
     x = x.withColumn("location", location("file", "line")).withColumn("fingerprint", fingerprint("rule_id", "file", "evidence"))
-    x = cut(first_per(x.withColumn("finding_id", F.xxhash64("file_id", "rule_id", "line", "title")), ["finding_id"], [F.col("det_ord")], tie=None))
+    x = cut(first_per(x.withColumn("finding_id", F.xxhash64("file_id", "rule_id", "line", F.when(F.col("rule_id") == "ORTHO-AGENCY-001", F.regexp_extract("title", r"shell|SQL|code|write|delete|HTTP", 0)))), ["finding_id"], [F.col("det_ord")], tie=None))
     return x.join(inline_suppressed(x, files, marker), "finding_id", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.runtime import cut
+
 
 def tagged(facts: DataFrame, tag: str) -> DataFrame:
     return facts.where(F.col("tag") == tag)
@@ -23,8 +25,9 @@ def file_findings(facts: DataFrame) -> DataFrame:
     return tagged(facts, "finding").select("file_id", F.col("s1").alias("rule_id"), "line", F.col("s3").alias("severity"), F.col("s2").alias("detail"), step.alias("trace"))
 
 
-def python_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """(file_id, rule_id, line, severity, detail, trace) of all syntax rules on Python files, across files of a repo as well.
+def syntax_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file_id, rule_id, line, severity, detail, trace) of all syntax rules, across files of a repo as well: in Python by
+    imports, in other languages by names that one file alone defines.
 
     A line that a rule already found within its file isn't found again across files. ``files`` has file_id, repo, path and
     suffix.
@@ -33,7 +36,7 @@ def python_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
 
     own = file_findings(facts)
     mods = cm.modules(files)
-    calls = cm.resolved_calls(facts, mods)
+    calls = cut(cm.resolved_calls(facts, mods).unionByName(cm.named_calls(facts, files)))
     none = F.array().cast("array<struct<line:int,role:string,snippet:string>>")
     row = lambda df, rule, sev, detail: df.select("file_id", F.lit(rule).alias("rule_id"), "line", sev.alias("severity"), detail.alias("detail"), none.alias("trace"))
     high = F.lit("HIGH")

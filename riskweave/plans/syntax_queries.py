@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators.facts import python_facts
+from riskweave.operators.facts import python_facts, syntax_facts
 from riskweave.operators.fixpoint import reach
-from riskweave.operators.taint import python_findings
+from riskweave.operators.taint import syntax_findings
 from riskweave.runtime import cut, table
 
 
 def python_rules(spark: SparkSession, d: str) -> DataFrame:
     """R01, R12-R14, R16-R18 on Python files, by syntax, within and across files."""
     files = table(spark, d, "files", "file_id", "repo", "path", "suffix", "text")
-    return python_findings(files, cut(python_facts(files)))
+    return syntax_findings(files, cut(python_facts(files)))
+
+
+def syntax_rules(spark: SparkSession, d: str) -> DataFrame:
+    """R01, R12-R14, R16-R18 on all languages with syntax facts: Python, JavaScript, TypeScript, Go, Java, Kotlin, C#, PHP, Rust."""
+    files = table(spark, d, "files", "file_id", "repo", "path", "suffix", "text")
+    return syntax_findings(files, cut(syntax_facts(files)))
 
 
 def fact_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +39,7 @@ def part_reach(spark: SparkSession, d: str) -> DataFrame:
     return reach(e, ps, ["g"]).groupBy("g").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-QUERIES = {f.__name__: f for f in (python_rules, fact_counts, part_reach)}
+QUERIES = {f.__name__: f for f in (python_rules, syntax_rules, fact_counts, part_reach)}
 ORACLE = {
     "part_reach": """with recursive e as (select 's' || s_suppkey as src, 'n' || s_nationkey as dst from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation union select 'r' || n_regionkey, 'n' || n_nationkey from nation),
  t as (select distinct l_partkey % 10 as g, 's' || l_suppkey as node from lineitem union select t.g, e.dst from t join e on e.src = t.node)

@@ -34,7 +34,7 @@ FILES = {
 def found(spark):
     files = spark.createDataFrame([(i, "r", f"p/f{i}.py", ".PY", t) for i, t in FILES.items()] + [(99, "r", "e.py", ".py", None), (98, "r", "e.py", ".py", "")], "file_id int, repo string, path string, suffix string, text string")
     facts = cut(python_facts(files))
-    rows = taint.python_findings(files, facts).collect()
+    rows = taint.syntax_findings(files, facts).collect()
     return {(r["file_id"], r["rule_id"], r["line"]): r for r in rows}
 
 
@@ -138,4 +138,4 @@ def test_prompts_across_modules(spark):
     files = spark.createDataFrame([(i, "r", p, ".py", t) for i, (p, t) in enumerate(src.items())], "file_id int, repo string, path string, suffix string, text string")
     facts = cut(python_facts(files))
     assert [tuple(r) for r in crossmodule.cross_module_prompts(facts, crossmodule.modules(files)).collect()] == [(1, 3)]
-    assert {(r["file_id"], r["rule_id"], r["line"]) for r in taint.python_findings(files, facts).collect()} == {(1, "ORTHO-PI-001", 3)}
+    assert {(r["file_id"], r["rule_id"], r["line"]) for r in taint.syntax_findings(files, facts).collect()} == {(1, "ORTHO-PI-001", 3)}
