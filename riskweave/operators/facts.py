@@ -206,9 +206,19 @@ def facts_of(text: str | None) -> list[tuple]:
     return rows
 
 
-def syntax_facts(files: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+#: What is still asked for once a file is solved.
+OUTWARD = frozenset(["func", "call", "arg", "import", "tool", "error", "finding", "summary", "sink"])
+
+
+def _outward(rows: list[tuple]) -> list[tuple]:
+    """Without the facts that only matter within their file."""
+    return [(*r[:9], None, None, None, *r[12:]) if r[0] in ("call", "arg") else r for r in rows if r[0] in OUTWARD]
+
+
+def syntax_facts(files: DataFrame, suffixes: tuple[str, ...] | None = None, whole: bool = False) -> DataFrame:
     """The fact table of the files of ``files`` (file_id, suffix, text, and path if there is one) in Python or a language with
-    braces, or of ``suffixes`` only; other files are left out."""
+    braces, or of ``suffixes`` only; other files are left out. Unless ``whole`` only facts that others ask for are kept.
+    """
     from riskweave.operators.brace_facts import LANGUAGES
 
     path = F.coalesce("path", F.lit("")) if "path" in files.columns else F.lit("")
@@ -221,14 +231,15 @@ def syntax_facts(files: DataFrame, suffixes: tuple[str, ...] | None = None) -> D
             ids, rows = [], []
             for i, (t, p, s) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
                 got = solve(facts_of(t), t, p) if s == ".py" else solve(brace_facts_of(LANGUAGES[s], t), t, p, BRACES)
+                got = got if whole else _outward(got)
                 rows += got
                 ids += [i] * len(got)
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)]], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)]], names=_NAMES)
 
     return spread(x).mapInArrow(run, SCHEMA.format(dict(x.dtypes)["file_id"]))
 
 
-def python_facts(files: DataFrame) -> DataFrame:
+def python_facts(files: DataFrame, whole: bool = False) -> DataFrame:
     """The fact table of the Python files alone."""
-    return syntax_facts(files, (".py",))
+    return syntax_facts(files, (".py",), whole)

@@ -25,7 +25,7 @@ def syntax_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def fact_counts(spark: SparkSession, d: str) -> DataFrame:
     """Facts by kind over all Python files."""
-    return python_facts(table(spark, d, "files", "file_id", "suffix", "text")).groupBy("tag").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("file_id").alias("files"))
+    return python_facts(table(spark, d, "files", "file_id", "suffix", "text"), whole=True).groupBy("tag").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("file_id").alias("files"))
 
 
 def part_reach(spark: SparkSession, d: str) -> DataFrame:
