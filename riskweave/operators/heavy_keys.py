@@ -41,17 +41,19 @@ def key_summary(df: DataFrame, key: str, value: str | Column) -> DataFrame:
     return a.join(m, F.col("_key").eqNullSafe(F.col("_k")), "left").select(F.col("_key").alias(key), "n", "n_values", "mean", "mode")
 
 
-def key_percentiles(df: DataFrame, key: str, value: str | Column, at: list[float], bins: int = 1024) -> DataFrame:
+def key_percentiles(df: DataFrame, key: str, value: str | Column, at: list[float], bins: int = 64) -> DataFrame:
     """(key, p, value): the smallest value whose cumulative weight reaches p of the key's non-null weight; exact.
 
     The weighted values of one key may still be many (a continuous value), so the prefix sum runs in two levels: weights
-    summed in ``bins`` value ranges a key, then only inside the range that holds the wanted position.
+    summed in ``bins`` value ranges a key, then only inside the range that holds the wanted position. The ranges end at
+    approximate quantiles of the key's distinct values, so that outliers don't crowd the rest into one of them; the result
+    doesn't depend on where they end.
     """
     w = compress(df, key, value).where(F.col("_val").isNotNull() & ~F.isnan(F.col("_val").cast("double")))
-    lim = w.groupBy(F.col("_key").alias("_k")).agg(F.min("_val").alias("_lo"), F.max("_val").alias("_hi"), F.sum("_w").alias("_tot"))
+    lim = w.groupBy(F.col("_key").alias("_k")).agg(F.percentile_approx("_val", [i / bins for i in range(1, bins)], F.lit(20 * bins)).alias("_ends"), F.sum("_w").alias("_tot"))
     lim = broadcast_if_small(lim)  # else a shuffle join, in which AQE splits the heavy keys
-    b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_val") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)))
-    x = w.join(lim, F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_val", "_w", "_tot", F.coalesce(b, F.lit(0)).cast("int").alias("_bin"))
+    b = F.aggregate("_ends", F.lit(0), lambda n, end: n + (end < F.col("_val")).cast("int"))
+    x = w.join(lim, F.col("_key").eqNullSafe(F.col("_k"))).select("_key", "_val", "_w", "_tot", b.alias("_bin"))
     per = x.groupBy("_key", "_bin").agg(F.sum("_w").alias("_bw"), F.max("_tot").alias("_tot"))
     upto = Window.partitionBy("_key").orderBy("_bin")
     edge = per.withColumn("_cum", F.sum("_bw").over(upto)).withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in at])))

@@ -122,7 +122,51 @@ RULES: list[Rule] = [
 ]
 
 
-def _hits(r: Rule, lines: Column, codes: Column, text: Column, suffix: Column) -> Column:
+def literals(pattern: str) -> frozenset[str]:
+    """Lower-case texts of which every match of ``pattern`` holds at least one, whatever its case; empty if none is certain.
+
+    Of a sequence the part with the longest texts counts, of alternatives all parts together.
+    """
+    from re import _parser as parser
+
+    def best(a: frozenset[str], b: frozenset[str]) -> frozenset[str]:
+        rank = lambda s: min(map(len, s)) if s else 0
+        return a if rank(a) >= rank(b) else b
+
+    def of(seq) -> frozenset[str]:
+        out, run = frozenset(), ""
+        for op, arg in seq:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            out, run = best(out, frozenset([run] if run else [])), ""
+            if name == "SUBPATTERN":
+                out = best(out, of(arg[-1]))
+            elif name == "BRANCH":
+                parts = [of(x) for x in arg[1]]
+                out = best(out, frozenset().union(*parts) if all(parts) else frozenset())
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                out = best(out, of(arg[2]))
+        return best(out, frozenset([run] if run else []))
+
+    return of(parser.parse(pattern))
+
+
+def _may_match(low: Column, *patterns: str) -> Column:
+    """Whether a lower-case text holds what each pattern cannot do without."""
+    c = F.lit(True)
+    for p in filter(None, patterns):
+        x = sorted(literals(p))
+        if x:
+            one = low.contains(x[0])
+            for y in x[1:]:
+                one = one | low.contains(y)
+            c = c & one
+    return c
+
+
+def _hits(r: Rule, lines: Column, codes: Column, text: Column, low: Column, suffix: Column) -> Column:
     src = codes if r.code else lines
     at = lambda i: F.element_at(src, i)
     part = lambda a, i: F.slice(a, F.greatest(F.lit(1), i - r.before), i + r.after - F.greatest(F.lit(1), i - r.before) + 1)
@@ -149,7 +193,8 @@ def _hits(r: Rule, lines: Column, codes: Column, text: Column, suffix: Column) -
     in_file = F.exists(codes, lambda x: x.rlike(r.calm) & ~x.rlike(NEGATION)) if r.calm_file else F.lit(True)
     found = F.filter(F.sequence(F.lit(1), F.size(lines)), ok)
     out = F.transform(found, lambda i: F.struct(F.lit(r.key).alias("key"), i.alias("line"), F.substring(squeeze(F.element_at(lines, i)), 1, r.size).alias("evidence"), (calm(i) & in_file if r.calm_severity else F.lit(False)).alias("calmed")))
-    need = suffix.isin(*r.suffixes) & text.rlike(r.pattern.replace("(?i)", "(?im)") if r.pattern.startswith("(?i)") else f"(?m){r.pattern}")
+    # plain searches go first: most files lack what a rule cannot do without
+    need = suffix.isin(*r.suffixes) & _may_match(low, r.pattern, r.file, r.frame) & text.rlike(r.pattern.replace("(?i)", "(?im)") if r.pattern.startswith("(?i)") else f"(?m){r.pattern}")
     if r.file:
         need = need & text.rlike(r.file)
     return F.when(need, out)
@@ -173,8 +218,8 @@ def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     suffix, text = F.lower("suffix"), F.col("text")
     used = sorted({s for r in rules for s in r.suffixes})
     x = files.where(suffix.isin(*used) & text.isNotNull() & (text != "")).select("file_id", "repo", "path", suffix.alias("suffix"), "text")
-    x = x.withColumn("lines", split_lines("text")).withColumn("codes", F.transform("lines", strip_comment))
-    h = F.concat(*[F.coalesce(_hits(r, F.col("lines"), F.col("codes"), F.col("text"), F.col("suffix")), F.array().cast(EMPTY)) for r in rules])
+    x = x.withColumn("low", F.lower("text")).withColumn("lines", split_lines("text")).withColumn("codes", F.transform("lines", strip_comment))
+    h = F.concat(*[F.coalesce(_hits(r, F.col("lines"), F.col("codes"), F.col("text"), F.col("low"), F.col("suffix")), F.array().cast(EMPTY)) for r in rules])
     x = x.select("file_id", "repo", "path", F.explode(h).alias("h")).select("file_id", "repo", F.col("path").alias("file"), "h.*")
     x = x.join(F.broadcast(rule_table(files.sparkSession, rules)), "key")
     x = x.withColumn("severity", F.when(F.col("tests_info") & is_test_path("file"), "INFO").when(F.col("calmed"), F.col("calm_severity")).otherwise(F.col("severity")))

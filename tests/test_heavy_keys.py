@@ -27,6 +27,7 @@ def test_summary_equals_brute_force(spark):
 def test_percentiles_are_exact(spark):
     rows = [("a", float(i * i % 101)) for i in range(997)] + [("b", 5.0)]
     got = {(r["k"], r["p"]): r["value"] for r in key_percentiles(frame(spark, rows), "k", "v", [0.0, 0.25, 0.5, 1.0], bins=8).collect()}
+    assert {(r["k"], r["p"]): r["value"] for r in key_percentiles(frame(spark, [*rows, ("a", 1e300)]), "k", "v", [0.5], bins=8).collect()}["a", 0.5] == sorted([v for k, v in rows if k == "a"] + [1e300])[498]
     a = sorted(v for k, v in rows if k == "a")
     import math
 

@@ -55,3 +55,18 @@ def test_partitioning_does_not_matter(spark, sf):
     f = spark.read.parquet(f"{sf}/files.parquet").select("file_id", "repo", "path", "suffix", "text")
     a = sorted(map(str, line_findings(f.repartition(1)).collect()))
     assert a == sorted(map(str, line_findings(f.repartition(6)).collect()))
+
+
+def test_literals_are_in_every_match():
+    import re
+
+    from riskweave.operators.rules import literals
+
+    assert literals(r"(?i)\b(torch\.load|Lambda)\s*\(") == {"torch.load", "lambda"} and literals(r"(a|)x?[bc]") == frozenset() and literals("ab*cde") == {"cde"}
+    texts = [t for c in CASES for t in c[2:]]
+    for r in RULES:
+        for p in (r.pattern, r.file, r.frame):
+            need = literals(p) if p else ()
+            for t in texts:
+                if need and re.search(p, t, re.M):
+                    assert any(x in t.lower() for x in need), (p, t)
