@@ -153,51 +153,46 @@ def literals(pattern: str) -> frozenset[str]:
     return of(parser.parse(pattern))
 
 
-def _may_match(low: Column, *patterns: str) -> Column:
-    """Whether a lower-case text holds what each pattern cannot do without."""
-    c = F.lit(True)
-    for p in filter(None, patterns):
-        x = sorted(literals(p))
-        if x:
-            one = low.contains(x[0])
-            for y in x[1:]:
-                one = one | low.contains(y)
-            c = c & one
-    return c
-
-
-def _hits(r: Rule, lines: Column, codes: Column, text: Column, low: Column, suffix: Column) -> Column:
-    src = codes if r.code else lines
-    at = lambda i: F.element_at(src, i)
-    part = lambda a, i: F.slice(a, F.greatest(F.lit(1), i - r.before), i + r.after - F.greatest(F.lit(1), i - r.before) + 1)
-    frame = lambda i: F.array_join(part(src, i), "\n")
-
-    def ok(i: Column) -> Column:
-        c = at(i).rlike(r.pattern)
-        if r.unless_line:
-            c = c & ~at(i).rlike(r.unless_line)
-        if r.frame:
-            c = c & frame(i).rlike(r.frame)
-        if r.unless_frame:
-            c = c & ~frame(i).rlike(r.unless_frame)
-        if r.calm and not r.calm_severity:
-            c = c & ~calm(i)
-        if r.roles:
-            roles = F.filter(F.transform(F.slice(lines, F.greatest(F.lit(1), i - 7), i - F.greatest(F.lit(1), i - 7) + 1), lambda x: F.lower(F.regexp_extract(x, _ROLE, 1))), lambda x: x != "")
-            c = c & F.coalesce(F.when(F.size(roles) > 0, F.element_at(roles, -1)), F.lit("system")).isin("system")
-        return c
+_SQUEEZED = r"regexp_replace(element_at(lines, i), '^\\s+|\\s+$', '')"
+
+
+def _q(p: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-    def calm(i: Column) -> Column:
-        return F.exists(part(codes, i), lambda x: x.rlike(r.calm) & ~x.rlike(NEGATION))
+def _may_match(*patterns: str) -> list[str]:
+    """Plain searches of the lower-case text for what each pattern cannot do without."""
+    each = [sorted(literals(p)) for p in patterns if p]
+    return ["(" + " or ".join(f"contains(low, {_q(x)})" for x in xs) + ")" for xs in each if xs]
 
-    in_file = F.exists(codes, lambda x: x.rlike(r.calm) & ~x.rlike(NEGATION)) if r.calm_file else F.lit(True)
-    found = F.filter(F.sequence(F.lit(1), F.size(lines)), ok)
-    out = F.transform(found, lambda i: F.struct(F.lit(r.key).alias("key"), i.alias("line"), F.substring(squeeze(F.element_at(lines, i)), 1, r.size).alias("evidence"), (calm(i) & in_file if r.calm_severity else F.lit(False)).alias("calmed")))
+
+def _hits(r: Rule) -> str:
+    """The hits of a rule as SQL over suffix, text, low, lines and codes; null for a file the rule can't concern.
+
+    Written as text and parsed at once: built from columns, the rules cost more than the files.
+    """
+    src = "codes" if r.code else "lines"
+    part = lambda of: f"slice({of}, greatest(1, i - {r.before}), i + {r.after} - greatest(1, i - {r.before}) + 1)"
+    like = lambda what, p: f"rlike({what}, {_q(p)})"
+    frame = f"array_join({part(src)}, '\\n')"
+    at = f"element_at({src}, i)"
+    calm = lambda of: f"exists({of}, x -> {like('x', r.calm)} and not {like('x', NEGATION)})"
+    ok = [like(at, r.pattern)]
+    ok += [f"not {like(at, r.unless_line)}"] * bool(r.unless_line)
+    ok += [like(frame, r.frame)] * bool(r.frame)
+    ok += [f"not {like(frame, r.unless_frame)}"] * bool(r.unless_frame)
+    ok += [f"not {calm(part('codes'))}"] * bool(r.calm and not r.calm_severity)
+    if r.roles:
+        roles = f"filter(transform(slice(lines, greatest(1, i - 7), i - greatest(1, i - 7) + 1), x -> lower(regexp_extract(x, {_q(_ROLE)}, 1))), x -> x <> '')"
+        ok.append(f"coalesce(try_element_at({roles}, -1), 'system') = 'system'")
+    calmed = " and ".join([calm(part("codes")), *[calm("codes")] * r.calm_file]) if r.calm_severity else "false"
+    out = f"transform(filter(sequence(1, size(lines)), i -> {' and '.join(ok)}), i -> struct({_q(r.key)} as key, i as line, substring({_SQUEEZED}, 1, {r.size}) as evidence, {calmed} as calmed))"
+    whole = f"(?im){r.pattern.removeprefix('(?i)')}" if r.pattern.startswith("(?i)") else f"(?m){r.pattern}"
     # plain searches go first: most files lack what a rule cannot do without
-    need = suffix.isin(*r.suffixes) & _may_match(low, r.pattern, r.file, r.frame) & text.rlike(r.pattern.replace("(?i)", "(?im)") if r.pattern.startswith("(?i)") else f"(?m){r.pattern}")
-    if r.file:
-        need = need & text.rlike(r.file)
-    return F.when(need, out)
+    need = [f"suffix in ({', '.join(map(_q, r.suffixes))})", *_may_match(r.pattern, r.file, r.frame), like("text", whole)]
+    need += [like("text", r.file)] * bool(r.file)
+    return f"case when {' and '.join(need)} then {out} end"
 
 
 _ROLE = r"""(?i)['"]role['"]\s*:\s*['"](\w+)['"]"""
@@ -219,7 +214,7 @@ def line_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     used = sorted({s for r in rules for s in r.suffixes})
     x = files.where(suffix.isin(*used) & text.isNotNull() & (text != "")).select("file_id", "repo", "path", suffix.alias("suffix"), "text")
     x = x.withColumn("low", F.lower("text")).withColumn("lines", split_lines("text")).withColumn("codes", F.transform("lines", strip_comment))
-    h = F.concat(*[F.coalesce(_hits(r, F.col("lines"), F.col("codes"), F.col("text"), F.col("low"), F.col("suffix")), F.array().cast(EMPTY)) for r in rules])
+    h = F.expr("concat(" + ", ".join(f"coalesce({_hits(r)}, cast(array() as {EMPTY}))" for r in rules) + ")")
     x = x.select("file_id", "repo", "path", F.explode(h).alias("h")).select("file_id", "repo", F.col("path").alias("file"), "h.*")
     x = x.join(F.broadcast(rule_table(files.sparkSession, rules)), "key")
     x = x.withColumn("severity", F.when(F.col("tests_info") & is_test_path("file"), "INFO").when(F.col("calmed"), F.col("calm_severity")).otherwise(F.col("severity")))
