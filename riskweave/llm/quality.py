@@ -163,17 +163,17 @@ class Mixture:
         self.kinds: list[str] = []
 
     def name_components(self) -> None:
-        """Each component takes the kind for which the inspected examples speak most; where none do, the nearest mean's."""
-        votes = np.zeros((len(self.w), 4))
-        kinds = ["prose", "list", "table", "junk"]
-        means = []
+        """Each component takes the kind of the inspected example nearest to its mean.
+
+        Not that of the examples it is responsible for: the examples are few and short, and a wide component can claim those
+        of another kind.
+        """
+        near = []
         for kind, texts in EXAMPLES:
             s = np.array([text_stats(t) for t in texts])
             x = _matrix({c: s[:, STATS.index(c)] for c in FEATURES}, self.centre, self.scale)
-            votes[:, kinds.index(kind)] += _responsibilities(x, self.w, self.mu, self.var).sum(0)
-            means.append((kind, x.mean(0)))
-        near = [min(means, key=lambda m, k=k: float(((m[1] - self.mu[k]) ** 2).sum()))[0] for k in range(len(self.w))]
-        self.kinds = [kinds[int(v.argmax())] if v.max() > 0.05 else near[k] for k, v in enumerate(votes)]
+            near += [(kind, e) for e in x]
+        self.kinds = [min(near, key=lambda n, mu=mu: float(((n[1] - mu) ** 2).sum()))[0] for mu in self.mu]
 
 
 def fit(stats: DataFrame, gain: float = 1e-3, iterations: int = 100, floor: float = 0.02) -> Mixture | None:
