@@ -42,8 +42,8 @@ UPSTREAM_SHARE, UPSTREAM_LINE = 0.8, 20
 #: stock of ordinary code grows slower than its length. LEAST_SYMBOLS: least size of a file for that, and for a blob, whose
 #: share of literals and separators is BLOB; FAMILY_SYMBOLS: of one of several files of a family, and of a copy.
 TEMPLATE, BLOB, LEAST_SYMBOLS, FAMILY_SYMBOLS = 0.25, 0.75, 40, 100
-#: Lines are compared within a cluster by the LINE_SKETCH smallest of their hashes, half of which copies share.
-LINE_SKETCH = 8
+#: Least number of lines of UPSTREAM_LINE characters or more by which a file is told to be a copy within its cluster.
+LEAST_LINES = 4
 #: A minified file: most characters in lines of MINIFIED_LINE or more, almost no white space.
 MINIFIED_LINE, MINIFIED_SHARE, MINIFIED_SPACE = 200, 0.6, 0.09
 
@@ -323,13 +323,14 @@ def upstream_copies(described: DataFrame, originals: DataFrame) -> DataFrame:
 
 
 def shared_lines(members: DataFrame) -> DataFrame:
-    """(cluster, repo, cls): classes of a repository whose line sketch is shared for the better half with other repositories
-    of their cluster. ``members`` is (cluster, repo, cls, lines); null repositories count as one."""
-    x = members.select("cluster", F.coalesce("repo", F.lit("")).alias("repo"), "cls", F.slice("lines", 1, LINE_SKETCH).alias("ls"))
-    x = x.where(F.size("ls") >= LINE_SKETCH // 2).select("*", F.explode("ls").alias("h"))
+    """(cluster, repo, cls, file_id): files that share the better half of their lines with other repositories of their
+    cluster. ``members`` is (cluster, repo, cls, file_id, lines), all lines of each file; null repositories count as one."""
+    about = ["cluster", "repo", "cls", "file_id"]
+    x = members.withColumn("repo", F.coalesce("repo", F.lit(""))).where(F.size("lines") >= LEAST_LINES)
+    x = x.select(*about, F.size("lines").alias("size"), F.xxhash64("lines").alias("text"), F.explode("lines").alias("h"))
     both = x.groupBy("cluster", "h").agg(F.min("repo").alias("p"), F.max("repo").alias("q")).where("p <> q").select("cluster", "h")
-    g = x.join(both, ["cluster", "h"]).select("cluster", "repo", "cls", "ls", "h").distinct().groupBy("cluster", "repo", "cls", "ls").agg(F.count(F.lit(1)).alias("n"))
-    return g.where(F.col("n") * 2 >= F.size("ls")).select("cluster", "repo", "cls").distinct()
+    g = x.join(both, ["cluster", "h"]).select(*about, "size", "text", "h").distinct().groupBy(*about, "size", "text").agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("n") * 2 >= F.col("size")).select(*about).distinct()
 
 
 def origins(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -370,7 +371,7 @@ def origins(files: DataFrame, upstream: DataFrame) -> DataFrame:
     over = shared_lines(wide.join(several, "cluster", "left_semi")).withColumn("shared", F.lit(True)).withColumnRenamed("repo", "_repo")
     y = y.join(g, "cluster").withColumn("_repo", F.coalesce("repo", F.lit("")))
     y = y.join(f.select("cluster", F.coalesce("repo", F.lit("")).alias("_repo"), "members", "f_n", "f_stock").groupBy("cluster", "_repo").agg(*[F.max(c).alias(c) for c in ("members", "f_n", "f_stock")]), ["cluster", "_repo"])
-    y = y.join(over, ["cluster", "_repo", "cls"], "left").join(copied, "file_id", "left")
+    y = y.join(over, ["cluster", "_repo", "cls", "file_id"], "left").join(copied, "file_id", "left")
     code = F.col("code") & (F.col("n") >= LEAST_SYMBOLS)
     # the stock against what ordinary code of that length has: below 1 is repetition
     bound = TEMPLATE * 200**0.5

@@ -376,3 +376,19 @@ def test_the_mixture_decides_prose(spark, sf):
     rows = [(1, "list", 0.0, 0.9), (2, "prose", 1.0, 0.1), (3, "prose", 0.6, 0.4), (4, "junk", 0.4, 0.6), (5, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id int, kind string, p_prose double, sentence_share double")
     assert sorted(r[0] for r in quality.not_prose(df).collect()) == [1, 3]
+
+
+def test_all_lines_of_a_copy_count(spark):
+    """Copies are told by all their lines, not by those with the smallest hashes, and file by file."""
+    low, rest = list(range(8)), list(range(100, 140))
+    rows = [
+        (1, "a", 1, 1, low + rest), (1, "b", 2, 2, low + [h + 1000 for h in rest]),  # 8 of 48 lines are those of another repository
+        (2, "a", 3, 3, low + rest), (2, "b", 4, 4, [h - 50 for h in low] + rest),  # 40 of 48 are
+        (3, "a", 5, 5, rest), (3, "b", 6, 6, rest), (3, "a", 5, 7, low), (3, "a", 5, 8, rest[:3]),  # 7 has the pattern of 5, not its lines
+        (4, "a", 9, 9, rest), (4, "a", 10, 10, rest), (4, None, 11, 11, rest[:20] + low), (4, None, 11, 11, rest[:20] + low),
+        (5, "a", 12, 12, rest), (6, "b", 13, 13, rest),
+    ]
+    members = spark.createDataFrame(rows, "cluster long, repo string, cls long, file_id long, lines array<bigint>")
+    got = origin.shared_lines(members).collect()
+    assert {r["cls"] for r in got} == {3, 4, 5, 6, 9, 10, 11}
+    assert sorted(r["file_id"] for r in got) == [3, 4, 5, 6, 9, 10, 11]
