@@ -392,3 +392,22 @@ def test_all_lines_of_a_copy_count(spark):
     got = origin.shared_lines(members).collect()
     assert {r["cls"] for r in got} == {3, 4, 5, 6, 9, 10, 11}
     assert sorted(r["file_id"] for r in got) == [3, 4, 5, 6, 9, 10, 11]
+
+
+def test_flags_come_without_repairs(spark, sf, monkeypatch):
+    """No stage runs for a flag that could not change it: no repair at all, no chart where the language's own parser decides."""
+    cases = [(lang, t, bad) for bad, some in ((False, GOOD), (True, BAD)) for lang in some for t in some[lang]]
+    assert all(bool(syntax.repair(lang, t)[0]) == bad for lang, t, bad in cases)
+    rows = spark.createDataFrame([(i, f".{lang}".upper(), t) for i, (lang, t, _) in enumerate(cases)], "file_id int, suffix string, text string")
+    got = syntax.check(rows)
+    assert got.columns == ["file_id", "lang"] and {r["file_id"] for r in got.collect()} == {i for i, c in enumerate(cases) if c[2]}
+    assert sorted(r[0] for r in syntax.p6_found(spark, sf).collect()) == sorted(r["file_id"] for r in syntax.p6_repairs(spark, sf).collect())
+
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(chart.Grammar, "repair", never)
+    assert all(syntax.faulty(lang, t) == bad for lang, t, bad in cases)
+    monkeypatch.setattr(syntax, "bad_of", never)
+    assert all(syntax.faulty(lang, t) == bad for lang, t, bad in cases if lang in ("py", "json"))
+    assert not any(syntax.faulty(lang, t) for lang in GOOD for t in (None, "", " \n"))
