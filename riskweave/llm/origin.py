@@ -53,12 +53,11 @@ KEYWORDS = "and as assert async await boolean break case catch chan class const
 LOCK_NAMES = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.ya?ml|poetry\.lock|pipfile\.lock|cargo\.lock|gemfile\.lock|composer\.lock|go\.sum|uv\.lock|[^/]+\.lock(?:\.json)?)$")
 
 _KEYWORD = {w: chr(0x100 + i) for i, w in enumerate(KEYWORDS)}
-_KEYWORD_RE = re.compile(r"\b(?:" + "|".join(KEYWORDS) + r")\b")
+_WORD, _WORDS = re.compile(r"[A-Za-z_]\w*"), re.compile(r"\w+")
 _STRING = re.compile(r'''"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`''')
 _REMARK = re.compile(r"#[^\n]*|//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/")
-_NUMBER = re.compile(r"(?<![A-Za-z_$])-?\d[\w.]*")
+_NUMBER = re.compile(r"[-\d](?<![A-Za-z_$].)(?:(?<=\d)|\d)[\w.]*")  # begins with a set, for which the search is quick
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_SPACE = re.compile(r"\s+")
 _START = r"^[ \t]*(?:#|//|/?\*+|--|;|<!--|%)[ \t]*"
 #: Remarks by which a tool or a copy declares itself; they must begin the remark, so that mere mention does not count.
 DECLARED_OUTPUT = re.compile(
@@ -79,8 +78,10 @@ def pattern(text: str) -> str:
     t = _STRING.sub("\x01", text)
     t = _REMARK.sub("", t)
     t = _NUMBER.sub("\x02", t)
-    t = _KEYWORD_RE.sub(lambda m: _KEYWORD[m[0]], t)
-    return _SPACE.sub("", _NAME.sub("\x03", t))
+    if t.isascii() and "$" not in t:  # every word is a keyword or a name
+        return "".join(_WORD.sub(lambda m: _KEYWORD.get(m[0], "\x03"), t).split())
+    t = _WORDS.sub(lambda m: _KEYWORD.get(m[0], m[0]), t)
+    return "".join(_NAME.sub("\x03", t).split())
 
 
 _PLACES = np.random.default_rng(3).integers(1, 1 << 62, 5, dtype=np.uint64) | np.uint64(1)
@@ -99,7 +100,24 @@ def _runs(h: np.ndarray) -> np.ndarray:
     out = h[:n] * _PLACES[0]
     for k in range(1, 5):
         out += h[k : k + n] * _PLACES[k]
-    return np.unique(_mix(out))
+    return _distinct(_mix(out))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """``h`` sorted, each value once."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def _stock(p: str, b: np.ndarray) -> int:
+    """Number of distinct runs of five symbols, exactly; 5 x 12 bits hold a run unless a symbol lies beyond."""
+    if len(b) < 5 or b.max() >= 4096:
+        return len({p[i : i + 5] for i in range(max(1, len(p) - 4))})
+    w = b[:-4].copy()
+    for k in range(1, 5):
+        w <<= np.uint64(12)
+        w |= b[k : len(b) - 4 + k]
+    return len(_distinct(w))
 
 
 def shingles(p: str) -> tuple[np.ndarray, int]:
@@ -109,7 +127,7 @@ def shingles(p: str) -> tuple[np.ndarray, int]:
     shift the overlap by one.
     """
     b = np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    stock = len({p[i : i + 5] for i in range(max(1, len(p) - 4))})
+    stock = _stock(p, b)
     starts = np.flatnonzero((b <= 3) | (b >= 0x100))
     if len(b) and not (len(starts) and starts[0] == 0):
         starts = np.concatenate([[0], starts])
@@ -124,15 +142,26 @@ _A = _RNG.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
 
+def minima(s: np.ndarray) -> np.ndarray:
+    """The MinHash signature of a set."""
+    h = s[:, None] * _A
+    h += _B
+    return h.min(0) >> np.uint64(20)
+
+
+def banded(signatures: np.ndarray) -> np.ndarray:
+    """One hash a band of each signature."""
+    low = signatures.reshape(-1, BANDS, ROWS)
+    h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for k in range(ROWS):
+        h = (h ^ low[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def bands(s: np.ndarray) -> list[int]:
     """One hash a band of the MinHash signature."""
-    with np.errstate(over="ignore"):
-        low = (((s[:, None] * _A) + _B) >> np.uint64(20)).min(0).reshape(BANDS, ROWS)
-        h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-        for k in range(ROWS):
-            h = (h ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+    return banded(minima(s))[0].tolist()
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -217,20 +246,26 @@ def describe(files: DataFrame) -> DataFrame:
                     xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63),
                     len(s),
                     *sketch(s),
-                    bands(s),
+                    minima(s),
                     (s >> np.uint64(32)).astype(np.uint32).view(np.int32),
                     line_hashes(t),
                 ))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
+            if rows:
+                at = list(_FIELDS).index("bands")
+                cols[at] = banded(np.stack(cols[at]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, _FIELDS.values(), strict=True)]], names=["file_id", "repo", *_FIELDS])
 
     return spread(x).mapInArrow(run, f"file_id {dict(x.dtypes)['file_id']}, repo string, " + ", ".join(f"{c} {_SQL[k]}" for c, k in _FIELDS.items()))
 
 
-def _shared(b: DataFrame) -> DataFrame:
+def _shared(b: DataFrame, single: bool = False) -> DataFrame:
     """Rows (bucket, cls, label) of buckets that hold more than one group (``label``), with the largest group of the bucket
     (``main``) and the number of rows outside it (``rest``). Counts are partial sums before they are shuffled, and the join
-    back is split where a bucket is hot."""
+    back is split where a bucket is hot. With ``single`` every row of a bucket is a group, which takes one shuffle less."""
+    if single:
+        g = b.groupBy("bucket").agg(F.max("label").alias("main"), (F.count(F.lit(1)) - 1).alias("rest")).where("rest > 0")
+        return b.join(g, "bucket")
     g = b.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     g = g.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     return b.join(g.select("bucket", F.col("top.label").alias("main"), (F.col("size") - F.col("top.n")).alias("rest")), "bucket")
@@ -250,7 +285,7 @@ def near_links(described: DataFrame, leaders: int = 64) -> DataFrame:
     about = ["k", "s0", "s1", "s2", "s3"]
     b = described.groupBy("cls").agg(F.first("bands").alias("bands"))
     b = b.select("cls", F.posexplode("bands").alias("no", "h")).select("cls", F.xxhash64("no", "h").alias("bucket"), F.col("cls").alias("label"))
-    b = cut(_shared(b))
+    b = cut(_shared(b, single=True))
     near = b.select("cls").distinct()
     classes = cut(described.select("cls", *about, "shingles").join(near, "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in [*about, "shingles"]]))
     small = lambda end: classes.select(F.col("cls").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in about])

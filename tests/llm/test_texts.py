@@ -411,3 +411,29 @@ def test_flags_come_without_repairs(spark, sf, monkeypatch):
     monkeypatch.setattr(syntax, "bad_of", never)
     assert all(syntax.faulty(lang, t) == bad for lang, t, bad in cases if lang in ("py", "json"))
     assert not any(syntax.faulty(lang, t) for lang in GOOD for t in (None, "", " \n"))
+
+
+def test_quick_ways_equal_plain_ones(spark):
+    """Patterns, stocks, band hashes and the shared buckets of the first round are those of the plain definitions."""
+    import re
+
+    import numpy as np
+
+    number, keyword = re.compile(r"(?<![A-Za-z_$])-?\d[\w.]*"), re.compile(r"\b(?:" + "|".join(origin.KEYWORDS) + r")\b")
+
+    def plain(text):
+        t = number.sub("\x02", origin._REMARK.sub("", origin._STRING.sub("\x01", text)))
+        t = keyword.sub(lambda m: origin._KEYWORD[m[0]], t)
+        return re.sub(r"\s+", "", origin._NAME.sub("\x03", t))
+
+    rnd = random.Random(1)
+    parts = ["if", "for", "else", "$", "é", "x", "12", "-", "--", "3.5", "_", "\n", " ", "　", "\x1c", '"', "'", "٣", ".", "(", ")", "ā", "0x1f", "A1", "`", "#", "/", "*", "𝔘"]
+    texts = [HAND, STUB, ""] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    p = [origin.pattern(t) for t in texts]
+    assert p == [plain(t) for t in texts]
+    s = [origin.shingles(x) for x in p]
+    assert [x[1] for x in s] == [len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) for x in p]
+    assert origin.banded(np.stack([origin.minima(x[0]) for x in s])).tolist() == [origin.bands(x[0]) for x in s]
+    b = spark.createDataFrame([(c, rnd.randrange(60), c) for c in range(90)], "cls long, bucket long, label long")
+    one, two = (sorted(tuple(r) for r in origin._shared(b, single=k).select("cls", "bucket", "label", "main", "rest").collect()) for k in (True, False))
+    assert one == two and one
